@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
+from .exact_topk import exact_top_k
+from .mixing import taken_words
 from .packing import best_two_fit_pack
+from .url_filter import judge_urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,8 +26,36 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit_pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(_table(spark, sf_dir, "documents"))
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: (verdict, host, path); the longest that fits wins.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+#: (verdict, glob) over host + path where no rule fits: mobile mirrors and printer-friendly copies repeat other pages.
+URL_GLOBS = [("block", "m.**"), ("block", "**/print/**")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack}
+    return {f.__name__: f for f in (op1_pack, op4_mix, op7_ann, op8_url_filter, op9_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
