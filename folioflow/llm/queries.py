@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
 from .exact_topk import exact_top_k
+from .language import identify_language, learn_languages
 from .mixing import taken_words
+from .neardup import near_duplicate_classes
 from .packing import best_two_fit_pack
+from .toxicity import THRESHOLD, learn_toxicity, score_toxicity
 from .url_filter import judge_urls
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,10 +29,28 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit_pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def _fold(n: int, key: str = "doc_id"):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(key).cast("string")) % n
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = learn_toxicity(documents, _table(spark, sf_dir, "labels"), _fold(3) != 1)
+    scored = score_toxicity(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    found = identify_language(documents.select("doc_id", "text"), learn_languages(documents, _fold(5) != 0))
+    return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "_language.lang_pred", "_language.score", "_language.ambiguous")
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -54,8 +75,12 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op4_mix, op7_ann, op8_url_filter, op9_exact_topk)}
+    return {f.__name__: f for f in (op1_pack, op3_toxicity, op4_mix, op6_language, op7_ann, op8_url_filter, op9_exact_topk, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
