@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kneser_ney
 from .ann import nearest_neighbours
 from .exact_topk import exact_top_k
 from .language import identify_language, learn_languages
@@ -45,6 +46,13 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(documents.where(_fold(7) != 2))
+    scored = kneser_ney.score(documents, model)
+    return scored.select("doc_id", F.coalesce(_fold(7) == 2, F.lit(False)).alias("held_out"), "_lm.n_tokens", "_lm.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "_lm.base_score", "_lm.score")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     found = identify_language(documents.select("doc_id", "text"), learn_languages(documents, _fold(5) != 0))
@@ -80,7 +88,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op3_toxicity, op4_mix, op6_language, op7_ann, op8_url_filter, op9_exact_topk, op10_neardup)}
+    return {f.__name__: f for f in (op1_pack, op3_toxicity, op4_mix, op5_lm, op6_language, op7_ann, op8_url_filter, op9_exact_topk, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
