@@ -11,6 +11,7 @@ from . import kneser_ney
 from .ann import nearest_neighbours
 from .exact_topk import exact_top_k
 from .language import identify_language, learn_languages
+from .licences import scan_licences
 from .mixing import taken_words
 from .neardup import near_duplicate_classes
 from .packing import best_two_fit_pack
@@ -30,6 +31,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit_pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def _fold(n: int, key: str = "doc_id"):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(key).cast("string")) % n
@@ -88,7 +93,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op3_toxicity, op4_mix, op5_lm, op6_language, op7_ann, op8_url_filter, op9_exact_topk, op10_neardup)}
+    return {f.__name__: f for f in (op1_pack, op2_licences, op3_toxicity, op4_mix, op5_lm, op6_language, op7_ann, op8_url_filter, op9_exact_topk, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
