@@ -78,12 +78,46 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Bytes hashed together; the work takes some 40 times as much memory.
+HASHED_BYTES = 1 << 21
+
+
+def column_slices(column: pa.Array, most: int = 4 << 20):
+    """The column in slices of at most so many bytes, or one text."""
+    sizes = np.cumsum(np.diff(text_buffer(column)[1]))
+    first = 0
+    while first < len(column):
+        done = sizes[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, done + most, "right")))
+        yield column.slice(first, last - first)
+        first = last
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) of each text, and each text's word count.
 
-    Works on bytes for all texts at once: a polynomial hash by prefix sums,
-    since a word's hash is a sum of byte codes times powers of its length.
+    Long input is hashed in parts that end at white space, so memory beyond the
+    words' hashes is bounded whatever the texts' lengths.
     """
+    words, counts, at = [], np.zeros(len(offsets) - 1, np.int64), 0
+    while at < len(data):
+        end = min(at + HASHED_BYTES, len(data))
+        while end < len(data):
+            blank = np.flatnonzero(_SPACE[data[end : end + 4096]])
+            if len(blank):
+                end += int(blank[0])
+                break
+            end = min(end + 4096, len(data))
+        first, last = np.searchsorted(offsets, at, "right") - 1, np.searchsorted(offsets, end, "left")
+        got, n = _word_hashes(data[at:end], np.clip(offsets[first : last + 1], at, end) - at)
+        words.append(got)
+        counts[first:last] += n
+        at = end
+    return np.concatenate(words) if words else np.zeros(0, _U), counts
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Works on bytes for all texts at once: a word's hash is a sum of its bytes' codes times powers by place."""
     n = len(offsets) - 1
     if not len(data):
         return np.zeros(0, _U), np.zeros(n, np.int64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shared_dir, text_buffer, word_hashes
+from .common import column_slices, materialize, mix, shared_dir, text_buffer, word_hashes
 from .wordrows import slices_of_texts
 
 #: Word that ends each text and precedes the first; text hashes never equal it but by chance.
@@ -104,13 +104,14 @@ def _bigram_blocks(texts: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, word, size = [], [], 0
         for batch in batches:
-            c, w, _ = _tokens(batch.column(0))
-            context.append(c)
-            word.append(w)
-            size += len(w)
-            if size >= BATCH_WORDS:
-                yield from emit(context, word)
-                context, word, size = [], [], 0
+            for column in column_slices(batch.column(0)):
+                c, w, _ = _tokens(column)
+                context.append(c)
+                word.append(w)
+                size += len(w)
+                if size >= BATCH_WORDS:
+                    yield from emit(context, word)
+                    context, word, size = [], [], 0
         if size:
             yield from emit(context, word)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, text_buffer, uniform, word_hashes
+from .common import column_slices, materialize, mix, text_buffer, uniform, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -156,11 +156,12 @@ def multisets(documents: DataFrame, n_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, counts = word_hashes(*text_buffer(batch.column(0)))
-            nodes = _text_nodes(words, counts)
-            owner, value, count = shingles(words, counts, n_words)
-            sizes = np.bincount(owner, minlength=len(counts))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), _lists(value.view(np.int64), sizes, pa.int64()), _lists(count, sizes, pa.int32())], names=["node", "shingles", "counts"])
+            for column in column_slices(batch.column(0)):
+                words, counts = word_hashes(*text_buffer(column))
+                nodes = _text_nodes(words, counts)
+                owner, value, count = shingles(words, counts, n_words)
+                sizes = np.bincount(owner, minlength=len(counts))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), _lists(value.view(np.int64), sizes, pa.int64()), _lists(count, sizes, pa.int32())], names=["node", "shingles", "counts"])
 
     return documents.select("text").mapInArrow(run, "node long, shingles array<long>, counts array<int>")
 
