@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,14 +88,20 @@ class LanguageModel:
     def fit(cls, texts: list[str], langs: list[str]) -> LanguageModel:
         names = sorted(set(langs))
         code = codewords(len(names))
-        counts = np.zeros((len(names), BUCKETS))
-        per_text = []
+        words: list[Counter] = [Counter() for _ in names]
         for text, lang in zip(texts, langs):
-            words = [w for w in map(fold, (text or "").split()) if w]
-            if words:
-                b, _ = ngram_buckets(words)
-                np.add.at(counts[names.index(lang)], b, 1)
-                per_text.append((b, names.index(lang)))
+            words[names.index(lang)].update(text.split())
+        counts = np.zeros((len(names), BUCKETS))
+        for own, row in zip(words, counts):
+            folded = Counter()
+            for w, n in own.items():
+                folded[fold(w)] += n
+            folded.pop("", None)
+            distinct = list(folded)
+            for at in range(0, len(distinct), 20_000):
+                some = distinct[at : at + 20_000]
+                buckets, owners = ngram_buckets(some)
+                row += np.bincount(buckets, np.array([folded[w] for w in some])[owners], BUCKETS)
         rates = (counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * BUCKETS)
         weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
         for b in range(code.shape[1]):
@@ -102,9 +109,11 @@ class LanguageModel:
             if other.any():
                 weights[:, b] = np.log(rates[one].mean(axis=0)) - np.log(rates[other].mean(axis=0))
         model = cls(names, code, weights, np.ones(code.shape[1]), np.ones(code.shape[1]), uuid.uuid4().hex)
-        if per_text:
-            margins = np.array([weights[b].mean(axis=0) for b, _ in per_text])
-            signed = margins * code[[c for _, c in per_text]]
+        sums = model.text_sums(texts)
+        known = sums[:, -1] > 0
+        if known.any():
+            margins = sums[known, :-1] / sums[known, -1:]
+            signed = margins * code[[names.index(x) for x, k in zip(langs, known) if k]]
             model.scale = 4 / np.maximum(np.median(np.abs(margins), axis=0), 1e-6)
             right = (signed > 0).mean(axis=0)
             model.bit_weight = np.maximum(right - 0.5, 0.05) / np.maximum(right - 0.5, 0.05).mean()
@@ -125,7 +134,8 @@ class LanguageModel:
             out[at[first], -1] = np.diff(np.r_[first, len(at)])
         return out
 
-    def predict(self, texts: list[str]) -> pd.DataFrame:
+    def text_sums(self, texts: list[str]) -> np.ndarray:
+        """Per text the summed weights of its n-grams by bit, and their number."""
         rows = word_rows(self.key, lambda: WordRows(self.word_sums, self.code.shape[1] + 1))
         sums = np.zeros((len(texts), self.code.shape[1] + 1))
         for first, group in slices_of_texts(texts):
@@ -133,6 +143,10 @@ class LanguageModel:
             some = np.flatnonzero(counts)
             if len(some):
                 sums[first + some] = np.add.reduceat(rows.rows[index].astype(np.float64), (np.cumsum(counts) - counts)[some], axis=0)
+        return sums
+
+    def predict(self, texts: list[str]) -> pd.DataFrame:
+        sums = self.text_sums(texts)
         letters = sums[:, -1] > 0
         margin = sums[:, :-1] / np.maximum(sums[:, -1:], 1) * self.scale
         distance = (np.logaddexp(0, -margin[:, None, :] * self.code[None]) * self.bit_weight).sum(axis=2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney
+from . import kneser_ney, oracles
 from .ann import nearest_neighbours
 from .exact_topk import exact_top_k
 from .language import identify_language, learn_languages
@@ -97,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix": oracles.OP4, "op8_url_filter": oracles.OP8, "op9_exact_topk": oracles.OP9}
