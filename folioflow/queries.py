@@ -367,7 +367,7 @@ def o4_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{CHUNKS}, seen AS (SELECT *, CASE WHEN status = 'pending' AND chunk_idx % 2 = 0 THEN 'translated' ELSE status END AS state, upper(original_text) AS translated FROM chunks),
+    f"""{CHUNKS}, seen AS (SELECT *, CASE WHEN status = 'pending' AND chunk_idx % 2 = 0 THEN 'translated' ELSE status END AS state, 'T ' || original_text AS translated FROM chunks),
     ctx AS (SELECT *, last_value(CASE WHEN state = 'translated' THEN original_text END IGNORE NULLS) OVER w AS po, last_value(CASE WHEN state = 'translated' THEN translated END IGNORE NULLS) OVER w AS pt FROM seen WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
     SELECT doc_id, chunk_idx, md5(po) AS previous_md5, md5(array_to_string(list_filter([CASE WHEN po IS NOT NULL THEN '{R.CONTEXT_HEAD}' || chr(10) || chr(10) || 'Original:' || chr(10) || '\"\"\"' || chr(10) || CASE WHEN length(tpo) > 400 THEN '...' || right(tpo, 400) ELSE tpo END || chr(10) || '\"\"\"' || chr(10) || chr(10)
       || 'Translated (pt-BR):' || chr(10) || '\"\"\"' || chr(10) || CASE WHEN length(tpt) > 400 THEN '...' || right(tpt, 400) ELSE tpt END || chr(10) || '\"\"\"' END,
@@ -377,19 +377,19 @@ def o4_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l3_w5_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts with the last translated chunk before as context."""
     done = (F.col("status") == "pending") & (F.col("chunk_idx") % 2 == 0)
-    chunks = _chunks(spark, sf_dir).withColumn("translated_text", F.upper("original_text")).withColumn("status", F.when(done, "translated").otherwise(F.col("status")))
+    chunks = _chunks(spark, sf_dir).withColumn("translated_text", F.concat(F.lit("T "), "original_text")).withColumn("status", F.when(done, "translated").otherwise(F.col("status")))
     rows = R.with_context(chunks)
     fixed = F.array(F.struct(F.lit("with").alias("src"), F.lit("mit").alias("dst")))
     prompt = R.prompt_column(F.col("original_text"), "pt-BR", F.array(F.lit("the")), fixed, F.col("previous.original"), F.col("previous.translated"), F.array().cast("array<string>"))
     return rows.select("doc_id", "chunk_idx", F.md5("previous.original").alias("previous_md5"), F.md5(prompt).alias("prompt_md5"))
 
 
-@query(f"{CHUNKS} SELECT doc_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY chunk_idx) || chr(10)) AS markdown_md5 FROM (SELECT doc_id, chunk_idx, CASE WHEN status = 'skipped' THEN original_text WHEN chunk_idx % 3 = 0 THEN trimmed WHEN chunk_idx % 3 = 1 THEN '<!-- NÃO TRADUZIDO -->' || chr(10) || chr(10) || trimmed ELSE upper(trimmed) END AS t FROM (SELECT *, trim(original_text, ' ' || chr(10)) AS trimmed FROM chunks)) GROUP BY doc_id")
+@query(f"{CHUNKS} SELECT doc_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY chunk_idx) || chr(10)) AS markdown_md5 FROM (SELECT doc_id, chunk_idx, CASE WHEN status = 'skipped' THEN original_text WHEN chunk_idx % 3 = 0 THEN trimmed WHEN chunk_idx % 3 = 1 THEN '<!-- NÃO TRADUZIDO -->' || chr(10) || chr(10) || trimmed ELSE 'T ' || trimmed END AS t FROM (SELECT *, trim(original_text, ' ' || chr(10)) AS trimmed FROM chunks)) GROUP BY doc_id")
 def k5_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents from pending, failed, translated and kept chunks."""
     chunks, turn = _chunks(spark, sf_dir), F.col("chunk_idx") % 3
     status = F.when(F.col("status") == "skipped", "skipped").when(turn == 0, "pending").when(turn == 1, "error").otherwise("translated")
-    text = assembly.chunk_markdown(status, F.col("original_text"), F.upper("original_text"), F.col("original_text"), F.lit(False))
+    text = assembly.chunk_markdown(status, F.col("original_text"), F.concat(F.lit("T "), "original_text"), F.col("original_text"), F.lit(False))
     return assembly.assemble(chunks.withColumn("markdown", text)).select("doc_id", F.md5("markdown").alias("markdown_md5"))
 
 
