@@ -16,8 +16,14 @@ STUB_BYTES = 50
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
+    """(path, length, content, sha256) of files; the binary reader passes over empty files, so they are listed beside it."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x for s in fs.globStatus(root) or [] for x in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    empty = [(x.getPath().toString(), 0, bytearray()) for x in found if x.isFile() and x.getLen() == 0]
+    files = files.unionByName(spark.createDataFrame(empty, "path string, length long, content binary")) if empty else files
+    return files.withColumn("sha256", F.sha2("content", 256))
 
 
 def pdf_problem(name: Column, content: Column) -> Column:
