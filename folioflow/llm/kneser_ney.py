@@ -32,7 +32,7 @@ _K = _U(0x9E3779B97F4A7C15)
 #: Bigrams of a bucket to aim at, by the number of training words.
 BUCKET_WORDS = 2_000_000
 #: Words a worker gathers before it sends counts.
-BATCH_WORDS = 3_000_000
+BATCH_WORDS = 2_000_000
 #: Characters scored together.
 SCORED_CHARS = 1 << 22
 
@@ -191,88 +191,72 @@ class ModelFiles:
 class KneserNey:
     """Totals of a trained model, small enough to send along, and its files."""
 
-    def __init__(self, files: ModelFiles, tokens: int, types: int, bigrams: int, word_discounts: tuple, unseen: float):
-        self.files, self.tokens, self.types, self.bigrams = files, tokens, types, bigrams
-        self.word_discounts, self.unseen = word_discounts, unseen
+    def __init__(self, files: ModelFiles, tokens: int, types: int, kinds: int, pair_discounts: tuple, word_discounts: tuple, taken: float):
+        self.files, self.tokens, self.types, self.kinds = files, tokens, types, kinds
+        self.pair_discounts, self.word_discounts = pair_discounts, word_discounts
+        # What the words' discounts leave over is spread over all types and one unknown word.
+        self.unseen = taken / kinds / (types + 1) if kinds else 1.0
 
 
 def train(texts: DataFrame, text_col: str = "text", bucket_words: int = BUCKET_WORDS) -> KneserNey:
-    """Count and write a model of all texts (null: empty)."""
+    """Count and write a model of all texts (null: empty).
+
+    The bigrams are shuffled once; a bucket's task merges its blocks, writes the
+    counts as sorted arrays and passes on what the words' buckets need.
+    Discounts depend on all counts, so scoring applies them.
+    """
     spark = texts.sparkSession
     texts = texts.select(F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-size // (6 * bucket_words)))
     files = ModelFiles(f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}", buckets)
-    blocks = materialize(_bigram_blocks(texts, buckets), "bigrams")
 
-    # How many bigrams occur 1 to 4 times gives the discounts; words' continuations and counts go on by word.
-    def tally(table: pa.Table) -> pa.Table:
+    def write_bigrams(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
         c, w, n = _merge_bigrams(table["block"].to_pylist())
         (words,), kinds = _counted(w)
         _, uses = _counted(w, weights=n)
+        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        files.write(f"context-{bucket}", c[first])
+        files.write(f"whole-{bucket}", np.add.reduceat(n, first).astype("<i8"))
+        for k, met in enumerate((n == 1, n == 2, n >= 3)):
+            files.write(f"met{k + 1}-{bucket}", np.add.reduceat(met.astype(np.int64), first).astype("<u4"))
+        # Bigrams stay in their context's bucket, in order of their own hashes.
+        pair = _pair(c, w)
+        order = np.argsort(pair)
+        files.write(f"pair-{bucket}", pair[order])
+        files.write(f"times-{bucket}", np.minimum(n[order], (1 << 32) - 1).astype("<u4"))
         cut = np.searchsorted(_bucket(words, buckets), np.arange(buckets + 1))
-        met = [int((n == k).sum()) for k in (1, 2, 3, 4)]
         rows = [(b, _pack(words[i:j], kinds[i:j].astype("<i8"), uses[i:j].astype("<i8")), [0] * 4) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i]
-        rows.append((-1, None, met))
+        rows.append((-1, None, [int((n == k).sum()) for k in (1, 2, 3, 4)]))
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["bucket", "block", "met"])
 
-    tallied = materialize(blocks.groupBy("bucket").applyInArrow(tally, "bucket int, block binary, met array<long>"), "words")
-    met = tallied.where("bucket < 0").select(*[F.sum(F.col("met")[k]).alias(f"m{k}") for k in range(4)]).first()
-    discounts = _discounts(*[m or 0 for m in met])
-
-    def merge_words(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        got = [_unpack(x, "<u8", "<i8", "<i8") for x in blobs]
-        keys, kinds, uses = (np.concatenate([g[i] for g in got]) for i in range(3))
-        (words,), kinds_ = _counted(keys, weights=kinds)
-        return words, kinds_, _counted(keys, weights=uses)[1]
-
-    # First the continuation counts' own discounts and total, then the shares of words.
-    def word_totals(table: pa.Table) -> pa.Table:
-        words, kinds, uses = merge_words(table["block"].to_pylist())
-        return pa.table({"types": [len(words)], "kinds": [int(kinds.sum())], "tokens": [int(uses.sum())]} | {f"m{k}": [int((kinds == k).sum())] for k in (1, 2, 3, 4)})
-
-    by_word = tallied.where("bucket >= 0").groupBy("bucket")
-    totals = by_word.applyInArrow(word_totals, "types long, kinds long, tokens long, m1 long, m2 long, m3 long, m4 long").groupBy().sum().toDF("types", "kinds", "tokens", "m1", "m2", "m3", "m4").first()
-    types, kinds_total, tokens = (totals[k] or 0 for k in ("types", "kinds", "tokens"))
-    below = _discounts(*[totals[f"m{k}"] or 0 for k in (1, 2, 3, 4)])
+    words = materialize(_bigram_blocks(texts, buckets).groupBy("bucket").applyInArrow(write_bigrams, "bucket int, block binary, met array<long>"), "words")
+    met = words.where("bucket < 0").select(*[F.sum(F.col("met")[k]).alias(f"m{k}") for k in range(4)]).first()
 
     def write_words(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        words, kinds, uses = merge_words(table["block"].to_pylist())
-        taken = _discount(kinds, below)
-        files.write(f"word-{bucket}", words)
-        files.write(f"share-{bucket}", ((kinds - taken) / kinds_total).astype("<f8"))
-        files.write(f"uses-{bucket}", uses.astype("<i8"))
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "taken": [float(taken.sum())], "bigrams": pa.array([0], pa.int64())})
-
-    def write_bigrams(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        c, w, n = _merge_bigrams(table["block"].to_pylist())
-        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        whole = np.add.reduceat(n, first)
-        taken = _discount(n, discounts)
-        share = ((n - taken) / np.repeat(whole, np.diff(np.r_[first, len(c)]))).astype("<f4")
-        # Bigrams stay in their context's bucket, in order of their own hashes.
-        pair = _pair(c, w)
-        order = np.argsort(pair)
-        files.write(f"pair-{bucket}", pair[order])
-        files.write(f"pair-share-{bucket}", share[order])
-        files.write(f"context-{bucket}", c[first])
-        files.write(f"rest-{bucket}", (np.add.reduceat(taken, first) / whole).astype("<f4"))
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "taken": [0.0], "bigrams": pa.array([len(pair)], pa.int64())})
+        got = [_unpack(x, "<u8", "<i8", "<i8") for x in table["block"].to_pylist()]
+        keys, kinds, uses = (np.concatenate([g[i] for g in got]) for i in range(3))
+        (own,), kinds_ = _counted(keys, weights=kinds)
+        uses_ = _counted(keys, weights=uses)[1]
+        files.write(f"word-{bucket}", own)
+        files.write(f"kinds-{bucket}", kinds_.astype("<i8"))
+        files.write(f"uses-{bucket}", uses_.astype("<i8"))
+        return pa.table({"types": [len(own)], "kinds": [int(kinds_.sum())], "tokens": [int(uses_.sum())]} | {f"m{k}": [int((kinds_ == k).sum())] for k in (1, 2, 3, 4)})
 
-    schema = "bucket int, taken double, bigrams long"
-    done = by_word.applyInArrow(write_words, schema).agg(F.sum("taken").alias("taken")).first()
-    pairs = blocks.groupBy("bucket").applyInArrow(write_bigrams, schema).agg(F.sum("bigrams").alias("n")).first()
-    # What the words leave over is spread over all types and one unknown word.
-    unseen = (done["taken"] or 0) / kinds_total / (types + 1) if kinds_total else 1.0
-    return KneserNey(files, tokens, types, pairs["n"] or 0, below, unseen)
+    counted = words.where("bucket >= 0").groupBy("bucket").applyInArrow(write_words, "types long, kinds long, tokens long, m1 long, m2 long, m3 long, m4 long")
+    t = counted.groupBy().sum().toDF("types", "kinds", "tokens", "m1", "m2", "m3", "m4").first()
+    types, kinds, tokens, *m = (t[k] or 0 for k in ("types", "kinds", "tokens", "m1", "m2", "m3", "m4"))
+    below = _discounts(*m)
+    taken = below[0] * m[0] + below[1] * m[1] + below[2] * (types - m[0] - m[1])
+    return KneserNey(files, tokens, types, kinds, _discounts(*[x or 0 for x in met]), below, taken)
 
 
 def _missing_files(files: ModelFiles) -> None:
     """Buckets that no word or context fell into have empty arrays."""
     for b in range(files.buckets):
-        for name in ("word", "share", "uses", "pair", "pair-share", "context", "rest"):
+        for name in ("word", "kinds", "uses", "pair", "times", "context", "whole", "met1", "met2", "met3"):
             if not os.path.exists(f"{files.local()}/{name}-{b}"):
                 files.write(f"{name}-{b}", np.zeros(0))
 
@@ -297,13 +281,16 @@ def score_texts(m: KneserNey, texts: list[str]) -> pd.DataFrame:
     context, token, own = _tokens(pa.array(texts, pa.large_string()))
     words, at = np.unique(token, return_inverse=True)
     uses = m.files.lookup("word", words, "uses", "<i8", 0)
-    share = m.files.lookup("word", words, "share", "<f8", 0.0) + m.unseen
+    kinds = m.files.lookup("word", words, "kinds", "<i8", 0)
+    share = np.where(kinds > 0, (kinds - _discount(np.maximum(kinds, 1), m.word_discounts)) / max(m.kinds, 1), 0) + m.unseen
     heads, head = np.unique(context, return_inverse=True)
-    rest = m.files.lookup("context", heads, "rest", "<f4", 1.0)
+    whole = m.files.lookup("context", heads, "whole", "<i8", 0)
+    spared = sum(d * m.files.lookup("context", heads, f"met{k + 1}", "<u4", 0) for k, d in enumerate(m.pair_discounts))
+    rest = np.where(whole > 0, spared / np.maximum(whole, 1), 1.0)
     pair, home = _pair(context, token), _bucket(heads, m.files.buckets)[head]
     order = np.lexsort((pair, home))
     pair, home = pair[order], home[order]
-    found = np.zeros(len(pair))
+    found = np.zeros(len(pair), np.int64)
     cut = np.searchsorted(home, np.arange(m.files.buckets + 1))
     for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
         have = m.files.read(f"pair-{b}", "<u8")
@@ -311,8 +298,9 @@ def score_texts(m: KneserNey, texts: list[str]) -> pd.DataFrame:
             place = np.searchsorted(have, pair[i:j])
             place[place == len(have)] = 0
             known = np.flatnonzero(have[place] == pair[i:j])
-            found[order[i:j][known]] = m.files.read(f"pair-share-{b}", "<f4")[place[known]]
-    probability = found + rest[head].astype(np.float64) * share[at]
+            found[order[i:j][known]] = m.files.read(f"times-{b}", "<u4")[place[known]]
+    own_share = np.where(found > 0, found - _discount(np.maximum(found, 1), m.pair_discounts), 0) / np.maximum(whole[head], 1)
+    probability = own_share + rest[head] * share[at]
     first = np.cumsum(own) - own
 
     def sums(x: np.ndarray) -> np.ndarray:
