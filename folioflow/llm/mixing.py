@@ -65,7 +65,7 @@ def source_plan(sizes: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: i
     s = s.withColumn("points", F.when(F.col("quota") > 0, F.col("quota") + spare).otherwise(0))
     s = s.withColumn("upto", F.sum("points").over(Window.orderBy("sid")))
     s = s.withColumn("all_points", F.sum("points").over(every))
-    s = s.withColumn("high", F.col("upto") / F.col("all_points")).withColumn("low", (F.col("upto") - F.col("points")) / F.col("all_points"))
+    s = s.withColumn("high", F.try_divide("upto", "all_points")).withColumn("low", F.try_divide(F.col("upto") - F.col("points"), F.col("all_points")))
     return s.select("sid", "source", "source_size", "weight", "target", "blocks", "quota", "low", "high", "all_points")
 
 
