@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .wordrows import WordRows, codes_of, slices_of_texts, word_rows
+from .wordrows import WordRows, codes_of, forget, slices_of_texts, word_rows
 
 #: Learning texts per language at most, and of all languages together.
-TEXTS_PER_LANGUAGE = 1500
-TEXTS = 8000
+TEXTS_PER_LANGUAGE = 1000
+TEXTS = 5000
 BUCKETS = 1 << 18
 LONGEST = 4
 #: Below this share of the two nearest languages' probability a prediction is ambiguous.
@@ -110,6 +110,7 @@ class LanguageModel:
                 weights[:, b] = np.log(rates[one].mean(axis=0)) - np.log(rates[other].mean(axis=0))
         model = cls(names, code, weights, np.ones(code.shape[1]), np.ones(code.shape[1]), uuid.uuid4().hex)
         sums = model.text_sums(texts)
+        forget(model.key)
         known = sums[:, -1] > 0
         if known.any():
             margins = sums[known, :-1] / sums[known, -1:]

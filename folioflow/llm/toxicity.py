@@ -23,11 +23,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .wordrows import WordRows, codes_of, slices_of_texts, word_rows
+from .wordrows import WordRows, codes_of, forget, slices_of_texts, word_rows
 
 #: Learning texts at most, toxic and clean.
-TOXIC_TEXTS = 2500
-CLEAN_TEXTS = 7500
+TOXIC_TEXTS = 2000
+CLEAN_TEXTS = 5000
 LANDMARKS = 512
 #: Letters a triple spans at most, and the weight of each letter skipped in it.
 SPAN = 5
@@ -36,6 +36,8 @@ DECAY = 0.5
 THRESHOLD = 0.7
 #: Odds against a word's share of toxic texts being chance.
 PROOF = 1e5
+#: Most toxic word forms to learn from.
+POSITIVES = 3_000
 #: Most word forms with clean examples, besides those the first fit finds hardest.
 NEGATIVES = 6_000
 HARD = 3_000
@@ -143,8 +145,10 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 12)
     for _ in range(rounds):
         slack = 1 - y * (z @ w)
         on = slack > 0
-        gradient = ridge * w - (z[on] * (c * y * slack)[on, None]).sum(axis=0) * 2
-        hessian = np.diag(ridge) + 2 * (z[on] * c[on, None]).T @ z[on]
+        gradient = ridge * w - 2 * z.T @ np.where(on, c * y * slack, 0)
+        root = z[on] * np.sqrt(c[on])[:, None]
+        hessian = np.diag(ridge) + 2 * root.T @ root
+        del root
         step = np.linalg.solve(hessian, gradient)
         w = w - step
         if np.abs(step).max() < 1e-6:
@@ -203,7 +207,7 @@ def fit_toxicity(texts: list[str], toxic: list[int]) -> ToxicityModel | None:
             strength[word] = gain
     if not strength:
         return None
-    positives = sorted(strength, key=lambda w: (-strength[w], w))[:NEGATIVES]
+    positives = sorted(strength, key=lambda w: (-strength[w], w))[:POSITIVES]
     # Words of toxic texts that nothing clears may be toxic too; they teach neither side.
     clean = sorted((w for w in seen[0] if w not in strength), key=lambda w: (-seen[0][w], w))
     rng = np.random.default_rng(0)
@@ -232,6 +236,7 @@ def fit_toxicity(texts: list[str], toxic: list[int]) -> ToxicityModel | None:
             picked |= set(hardest)
     # The cut between clean and toxic texts with the best F score, precision counting double.
     margins = model.text_margins([t or "" for t in texts])
+    forget(model.key)
     order = np.argsort(-margins, kind="stable")
     hits, false = np.cumsum(y[order] > 0), np.cumsum(y[order] <= 0)
     f = 1.25 * hits / (hits + false + 0.25 * n_toxic)

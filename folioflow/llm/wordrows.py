@@ -56,6 +56,11 @@ def word_rows(key: str, make: Callable[[], WordRows]) -> WordRows:
     return _tables[key]
 
 
+def forget(key: str) -> None:
+    """Free a model's table, as after fitting on the driver."""
+    _tables.pop(key, None)
+
+
 def codes_of(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all words after each other, and the words' lengths."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
