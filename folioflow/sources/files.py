@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,40 +70,39 @@ def page_texts(files: DataFrame, extractor: Callable[[], Extractor]) -> DataFram
     """(doc_id, page, text) of every page; a document that doesn't parse is one page without text."""
     kind = files.schema["doc_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = extractor()
-        for frame in frames:
-            rows = []
-            for doc_id, content in zip(frame["doc_id"], frame["content"]):
+        for batch in batches:
+            doc, page, text = [], [], []
+            for i, content in enumerate(batch.column(1)):
                 try:
-                    texts = parser.page_texts(content) or [None]
+                    texts = parser.page_texts(content.as_py()) or [None]
                 except Exception:  # whatever a parser raises, the document counts as one page
                     texts = [None]
-                rows += [(doc_id, i + 1, t) for i, t in enumerate(texts)]
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "text"])
+                doc += [i] * len(texts)
+                page += range(1, len(texts) + 1)
+                text += texts
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(page, pa.int32()), pa.array(text, pa.string())], names=["doc_id", "page", "text"])
 
-    return files.select("doc_id", "content").mapInPandas(run, f"doc_id {kind}, page int, text string")
+    return files.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, page int, text string")
 
 
 def extract_blocks(files: DataFrame, runs: DataFrame, extractor: Callable[[], Extractor]) -> DataFrame:
     """Blocks of every document, its runs of pages (first_page, last_page, needs_ocr) going to OCR or not; empty content is dropped."""
     routed = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_page", "last_page", "needs_ocr"))).alias("runs"))
-    names = [f.name for f in BLOCK_SCHEMA]
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    schema = pa.schema([(f.name, arrow[f.dataType.simpleString()]) for f in BLOCK_SCHEMA])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = extractor()
-        for frame in frames:
+        for batch in batches:
             rows = []
-            for doc_id, content, own in zip(frame["doc_id"], frame["content"], frame["runs"]):
-                pos = 0
-                for part in own:
-                    for block in parser.blocks(content, int(part["first_page"]), int(part["last_page"]), bool(part["needs_ocr"])):
-                        if block.get("content"):
-                            rows.append({"doc_id": doc_id, "pos": pos, **block})
-                            pos += 1
-            yield pd.DataFrame(rows, columns=names)
-
-    return files.join(routed, "doc_id").select("doc_id", "content", "runs").mapInPandas(run, BLOCK_SCHEMA)
+            for row in batch.to_pylist():
+                parts = (b for r in row["runs"] for b in parser.blocks(row["content"], r["first_page"], r["last_page"], r["needs_ocr"]))
+                rows += [{"doc_id": row["doc_id"], "pos": i} | b for i, b in enumerate(b for b in parts if b.get("content"))]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.join(routed, "doc_id").select("doc_id", "content", "runs").mapInArrow(run, BLOCK_SCHEMA)
 
 
 def log_shows_gpu(log: DataFrame, marks: tuple[str, ...] = ("cuda", "offloaded", "gpu")) -> DataFrame:
