@@ -45,6 +45,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_worker: dict[str, object] = {}
+
+
+def worker_cache(key: str, make):
+    """What a Python worker keeps between batches. Only one thing at a time, so that stages after each other don't add up."""
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
+
+
+def drop_worker_cache() -> None:
+    """Free it, as after fitting on the driver."""
+    _worker.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):

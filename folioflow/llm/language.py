@@ -17,10 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .wordrows import WordRows, codes_of, forget, slices_of_texts, word_rows
+from .common import drop_worker_cache, worker_cache
+from .wordrows import WordRows, codes_of, slices_of_texts
 
 #: Learning texts per language at most, and of all languages together.
 TEXTS_PER_LANGUAGE = 1000
@@ -110,7 +112,7 @@ class LanguageModel:
                 weights[:, b] = np.log(rates[one].mean(axis=0)) - np.log(rates[other].mean(axis=0))
         model = cls(names, code, weights, np.ones(code.shape[1]), np.ones(code.shape[1]), uuid.uuid4().hex)
         sums = model.text_sums(texts)
-        forget(model.key)
+        drop_worker_cache()
         known = sums[:, -1] > 0
         if known.any():
             margins = sums[known, :-1] / sums[known, -1:]
@@ -137,7 +139,7 @@ class LanguageModel:
 
     def text_sums(self, texts: list[str]) -> np.ndarray:
         """Per text the summed weights of its n-grams by bit, and their number."""
-        rows = word_rows(self.key, lambda: WordRows(self.word_sums, self.code.shape[1] + 1))
+        rows = worker_cache(self.key, lambda: WordRows(self.word_sums, self.code.shape[1] + 1))
         sums = np.zeros((len(texts), self.code.shape[1] + 1))
         for first, group in slices_of_texts(texts):
             index, counts = rows.of([t.split() for t in group])
@@ -170,7 +172,10 @@ def learn_languages(documents: DataFrame, learn: Column, text_col: str = "text",
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))])
     point = F.pmod(F.xxhash64(F.lit("languages"), "text"), F.lit(1 << 20)) / float(1 << 20)
     rows = labelled.where(point < share[F.col("lang")]).withColumn("point", point).orderBy("point", "text").limit(2 * most).toArrow()
-    return LanguageModel.fit(rows["text"].to_pylist(), rows["lang"].to_pylist())
+    texts, langs = rows["text"].to_pylist(), rows["lang"].to_pylist()
+    del rows
+    pa.default_memory_pool().release_unused()
+    return LanguageModel.fit(texts, langs)
 
 
 def identify_language(documents: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
@@ -188,4 +193,5 @@ def identify_language(documents: DataFrame, model: LanguageModel | None, text_co
             return pd.DataFrame({"lang_pred": [UNKNOWN] * len(text), "score": 0.0, "ambiguous": True})
         return shared.value.predict(text.fillna("").tolist())
 
-    return documents.withColumn("_language", predict(text_col))
+    # Taken as not deterministic, so that a filter on the result doesn't compute it twice.
+    return documents.withColumn("_language", predict.asNondeterministic()(text_col))

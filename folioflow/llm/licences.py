@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 # Usual wordings of licence notices, by licence.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
@@ -147,9 +149,6 @@ class LicenceScanner:
         return self.kept[key]
 
 
-_scanners: dict[int, LicenceScanner] = {}
-
-
 def scan_licences(documents: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, confirmed: int = CONFIRMED, shared: float = SHARED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, licence, saved_bytes, missing, extra, exact): one row per confirmed licence notice.
 
@@ -164,9 +163,7 @@ def scan_licences(documents: DataFrame, templates: Mapping[str, list[str]] = TEM
     templates = dict(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scanners:
-            _scanners[key] = LicenceScanner(templates, confirmed, shared)
-        scanner = _scanners[key]
+        scanner = worker_cache(f"licences-{key}", lambda: LicenceScanner(templates, confirmed, shared))
         for batch in batches:
             rows = [(i, start, end, f) for i, text in enumerate(batch.column(1)) if (t := text.as_py()) for start, end, f in scanner.scan(t)]
             columns = [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, worker_cache
 
 #: Words whose ids one Python worker keeps; beyond it the kept words are dropped and gathered anew.
 CACHE_WORDS = 400_000
@@ -69,15 +69,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.translate(_BLANK).split(" ") if len(text) < 1 << 22 else re.split("[ \t\n\r]", text)))
 
 
-_ids: dict[str, WordIds] = {}
-
-
-def _word_ids(path: str) -> WordIds:
-    if path not in _ids:
-        _ids[path] = WordIds(path)
-    return _ids[path]
-
-
 def plan_bins(histogram: dict[int, int], max_len: int) -> tuple[pd.DataFrame, int]:
     """Best-two-fit over a histogram of lengths.
 
@@ -145,7 +136,7 @@ def tokenize_pieces(documents: DataFrame, tokenizer_path: str, max_len: int = 20
     step = 4 * max_len
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part = _word_ids(tokenizer_path), TaskContext.get().partitionId()
+        ids, part = worker_cache(tokenizer_path, lambda: WordIds(tokenizer_path)), TaskContext.get().partitionId()
         seen = [0] * (max_len + 1)
         for batch in batches:
             out: list[list] = [[] for _ in range(7 + keep_ids)]

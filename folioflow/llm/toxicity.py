@@ -20,10 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .wordrows import WordRows, codes_of, forget, slices_of_texts, word_rows
+from .common import drop_worker_cache, worker_cache
+from .wordrows import WordRows, codes_of, slices_of_texts
 
 #: Learning texts at most, toxic and clean.
 TOXIC_TEXTS = 2000
@@ -174,7 +176,7 @@ class ToxicityModel:
         return out
 
     def text_margins(self, texts: list[str]) -> np.ndarray:
-        rows = word_rows(self.key, lambda: WordRows(self.margins, 1))
+        rows = worker_cache(self.key, lambda: WordRows(self.margins, 1))
         out = np.full(len(texts), -9.0)
         for first, group in slices_of_texts(texts):
             index, counts = rows.of([sentence_words(t) for t in group])
@@ -236,7 +238,7 @@ def fit_toxicity(texts: list[str], toxic: list[int]) -> ToxicityModel | None:
             picked |= set(hardest)
     # The cut between clean and toxic texts with the best F score, precision counting double.
     margins = model.text_margins([t or "" for t in texts])
-    forget(model.key)
+    drop_worker_cache()
     order = np.argsort(-margins, kind="stable")
     hits, false = np.cumsum(y[order] > 0), np.cumsum(y[order] <= 0)
     f = 1.25 * hits / (hits + false + 0.25 * n_toxic)
@@ -260,7 +262,10 @@ def learn_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, id_co
     ids = known.where("_toxic > 0").orderBy(*order).limit(toxic_texts).unionByName(known.where("_toxic <= 0").orderBy(*order).limit(clean_texts))
     rows = documents.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(ids), id_col).toArrow()
     rows = rows.slice(0, 2 * (toxic_texts + clean_texts)).sort_by([(id_col, "ascending"), ("_text", "ascending")])
-    return fit_toxicity(rows["_text"].to_pylist(), rows["_toxic"].to_pylist())
+    texts, toxic = rows["_text"].to_pylist(), rows["_toxic"].to_pylist()
+    del rows
+    pa.default_memory_pool().release_unused()
+    return fit_toxicity(texts, toxic)
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
@@ -276,4 +281,5 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel | None, text_col:
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores(text.fillna("").tolist()) if shared.value else np.zeros(len(text)))
 
-    return documents.withColumn("_toxicity", score(text_col))
+    # Taken as not deterministic, so that a filter on the score doesn't compute it twice.
+    return documents.withColumn("_toxicity", score.asNondeterministic()(text_col))

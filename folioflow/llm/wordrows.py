@@ -44,23 +44,6 @@ class WordRows:
         return index, counts
 
 
-_tables: dict[str, WordRows] = {}
-
-
-def word_rows(key: str, make: Callable[[], WordRows]) -> WordRows:
-    """The worker's table for a model; only the latest few models' tables are kept."""
-    if key not in _tables:
-        while len(_tables) >= 2:
-            _tables.pop(next(iter(_tables)))
-        _tables[key] = make()
-    return _tables[key]
-
-
-def forget(key: str) -> None:
-    """Free a model's table, as after fitting on the driver."""
-    _tables.pop(key, None)
-
-
 def codes_of(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all words after each other, and the words' lengths."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
