@@ -38,6 +38,16 @@ def insert_absent(manifest: DataFrame, rows: DataFrame, key: str = "sha256") ->
     return manifest.unionByName(rows.join(manifest, key, "left_anti"))
 
 
+def mark_completed(manifest: DataFrame, done: Column, now: Column) -> DataFrame:
+    """Manifest with the status completed, and the time, where done holds."""
+    return manifest.withColumns({"status": F.when(done, "completed").otherwise(F.col("status")), "updated_at": F.when(done, now).otherwise(F.col("updated_at"))})
+
+
+def clear(rows: DataFrame, documents: DataFrame, key: str = "sha256") -> DataFrame:
+    """Rows of a manifest or of states without those of some documents."""
+    return rows.join(documents.select(key).distinct(), key, "left_anti")
+
+
 def resume(chunks: DataFrame, states: DataFrame) -> DataFrame:
     """Chunks with the text and status of those done before; the others as they were."""
     known = latest(states).select("doc_id", "chunk_idx", F.col("status").alias("_status"), F.col("text").alias("_text"))

@@ -445,6 +445,23 @@ def t3_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpoints.resume(_work(spark, sf_dir), states).select("doc_id", "chunk_idx", "status", "translated_text")
 
 
+@query("SELECT 'h' || c_custkey AS sha256, CASE WHEN c_custkey % 4 = 0 THEN 'completed' ELSE 'in_progress' END AS status, CASE WHEN c_custkey % 4 = 0 THEN 'now' ELSE 'then' END AS updated_at FROM customer WHERE c_custkey % 7 > 0")
+def k4_complete_and_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests marked as completed, some cleared."""
+    c = _read(spark, sf_dir, "customer")
+    manifest = c.select("c_custkey", F.concat(F.lit("h"), F.col("c_custkey").cast("string")).alias("sha256"), F.lit("in_progress").alias("status"), F.lit("then").alias("updated_at"))
+    done = checkpoints.mark_completed(manifest, F.col("c_custkey") % 4 == 0, F.lit("now"))
+    return checkpoints.clear(done, manifest.where("c_custkey % 7 = 0")).select("sha256", "status", "updated_at")
+
+
+@query("SELECT 'h' || n_nationkey AS sha256, CASE WHEN n_nationkey < 10 THEN 'old' ELSE 'new' END AS model FROM nation")
+def k2_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of documents that have none yet."""
+    rows = _read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("h"), F.col("n_nationkey").cast("string")).alias("sha256"), F.lit("new").alias("model"))
+    old = rows.where("n_nationkey < 10").withColumn("model", F.lit("old"))
+    return checkpoints.insert_absent(old.drop("n_nationkey"), rows.drop("n_nationkey"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN 'restart' WHEN c_custkey % 5 > 0 AND c_mktsegment = 'BUILDING' THEN 'continue' WHEN c_custkey % 3 = 0 THEN 'reuse' ELSE 'ask' END AS action FROM customer")
 def c10_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to do with a checkpoint that was made otherwise."""
