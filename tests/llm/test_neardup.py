@@ -22,10 +22,10 @@ def classes(rows):
             x = parent[x]
         return x
 
-    bags = [(i, bag(t)) for i, t in rows]
-    for k, (i, a) in enumerate(bags):
-        for j, b in bags[:k]:
-            both = sum((a & b).values())
+    bags = [(i, b, sum(b.values())) for i, t in rows for b in [bag(t)]]
+    for k, (i, a, m) in enumerate(bags):
+        for j, b, n in bags[:k]:
+            both = sum((a & b).values()) if min(m, n) >= 0.8 * max(m, n) and not a.keys().isdisjoint(b) else 0
             if both and both >= 0.8 * sum((a | b).values()) - 1e-9:
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     return {i: root(i) for i, _ in rows}
