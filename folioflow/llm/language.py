@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_worker_cache, worker_cache
-from .wordrows import WordRows, codes_of, slices_of_texts
+from .wordrows import COMPUTED, WordRows, codes_of, slices_of_texts
 
 #: Learning texts per language at most, and of all languages together.
 TEXTS_PER_LANGUAGE = 1000
@@ -100,8 +100,8 @@ class LanguageModel:
                 folded[fold(w)] += n
             folded.pop("", None)
             distinct = list(folded)
-            for at in range(0, len(distinct), 20_000):
-                some = distinct[at : at + 20_000]
+            for at in range(0, len(distinct), COMPUTED):
+                some = distinct[at : at + COMPUTED]
                 buckets, owners = ngram_buckets(some)
                 row += np.bincount(buckets, np.array([folded[w] for w in some])[owners], BUCKETS)
         rates = (counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * BUCKETS)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_worker_cache, worker_cache
-from .wordrows import WordRows, codes_of, slices_of_texts
+from .wordrows import COMPUTED, WordRows, codes_of, slices_of_texts
 
 #: Learning texts at most, toxic and clean.
 TOXIC_TEXTS = 2000
@@ -233,7 +233,7 @@ def fit_toxicity(texts: list[str], toxic: list[int]) -> ToxicityModel | None:
         who, what, weight = triples(landmarks)
         model = ToxicityModel(np.bincount(what, weight * beta[who], _TRIPLES), offset, 1.0, 0.0, uuid.uuid4().hex)
         if attempt == 0:
-            margins = model.margins(scanned)[:, 0]
+            margins = np.concatenate([model.margins(scanned[i : i + COMPUTED])[:, 0] for i in range(0, len(scanned), COMPUTED)] or [np.zeros(0)])
             hardest = [scanned[i] for i in np.argsort(-margins, kind="stable")[:HARD]]
             picked |= set(hardest)
     # The cut between clean and toxic texts with the best F score, precision counting double.

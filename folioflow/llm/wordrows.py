@@ -8,6 +8,8 @@ import numpy as np
 
 #: Words whose results one Python worker keeps per model; beyond it they are dropped and gathered anew.
 KEPT_WORDS = 300_000
+#: Words looked at together; their n-grams take some 100 times the words' memory.
+COMPUTED = 6_000
 
 
 class WordRows:
@@ -26,8 +28,8 @@ class WordRows:
             self.at, self.used = {}, 0
             new = set().union(*texts)
         words = list(new)
-        for first in range(0, len(words), 50_000):
-            some = words[first : first + 50_000]
+        for first in range(0, len(words), COMPUTED):
+            some = words[first : first + COMPUTED]
             got = self.compute(some)
             need = self.used + len(some)
             if need > len(self.rows):
