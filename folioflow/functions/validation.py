@@ -13,6 +13,10 @@ from . import patterns as P
 from .text import strip
 
 
+# The wording of the reasons, here and in validate().
+COUNT_REASON = "Quantidade de {label} diverge: original tem %d, tradução tem %d"
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(P.java(pattern, "(?mUd)"))).cast("int")
 
@@ -38,7 +42,7 @@ def chat_phrase(text: Column) -> Column:
 def _counted(label: str, original: Column, response: Column, extra: float) -> Column:
     most = F.greatest(F.lit(1), F.floor(original * extra + 1e-9).cast("int"))
     wrong = (response < original) | (response - original > most)
-    return F.when(wrong, F.format_string(f"Quantidade de {label} diverge: original tem %d, tradução tem %d", original, response))
+    return F.when(wrong, F.format_string(COUNT_REASON.format(label=label), original, response))
 
 
 def validate(response: Column, original: Column, placeholders: Column | None = None, least: float = 0.4, most: float = 2.5, extra: float = 0.1) -> Column:
