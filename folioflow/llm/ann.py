@@ -34,6 +34,9 @@ NEIGHBOURS = 10
 #: Rows of a block of stored vectors and of queries.
 BLOCK_ROWS = 4096
 QUERY_ROWS = 4096
+#: Queries scored together, and how far two roundings of one cosine may lie apart.
+QUERY_STEP = 64
+ROUNDING = 1e-12
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -179,15 +182,21 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, sample_
         table = table.combine_chunks()
         asks, ids = table["asks"].to_numpy(), table["id"].to_numpy()
         given = list_matrix(table["v"].chunk(0), dim)
-        norms = np.sqrt(np.einsum("ij,ij->i", given, given))
+        norms = np.sqrt((given * given).sum(axis=1))
         queries, query_ids, query_norms = given[asks], ids[asks], norms[asks]
         held_rows, held_ids, held_norms = given[~asks], ids[~asks], norms[~asks]
         held_at = table["row"].to_numpy()[~asks]
         out = []
-        for at in range(0, len(queries), 256):
-            scores = queries[at : at + 256] @ held_rows.T / (query_norms[at : at + 256, None] * held_norms[None, :])
-            row, col = best_of(scores, held_ids, query_ids[at : at + 256], k)
-            out.append((query_ids[at : at + 256][row], held_at[col], held_ids[col], scores[row, col]))
+        for at in range(0, len(queries), QUERY_STEP):
+            own, own_ids = queries[at : at + QUERY_STEP], query_ids[at : at + QUERY_STEP]
+            rough = own @ held_rows.T / (query_norms[at : at + QUERY_STEP, None] * held_norms[None, :])
+            # A matrix product may round equal vectors apart, so candidates come with some room and are scored again one by one.
+            row, col = best_of(rough, held_ids, own_ids, k, ROUNDING)
+            score = (own[row] * held_rows[col]).sum(axis=1) / (query_norms[at : at + QUERY_STEP][row] * held_norms[col])
+            order = np.lexsort((held_ids[col], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            near = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+            out.append((own_ids[row[near]], held_at[col[near]], held_ids[col[near]], score[near]))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         return pa.table([np.concatenate([x[i] for x in out]) if out else pa.array([], t) for i, t in enumerate(types)], names=["query_id", "row", "id", "score"])
 

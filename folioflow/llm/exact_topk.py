@@ -27,8 +27,11 @@ QUERY_STEP = 64
 LARGEST = 1 << 28
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row of scores the k best candidates by (score descending, id), without the query's own id: (row, column) indices."""
+def best_of(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, room: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of scores the k best candidates by (score descending, id), without the query's own id: (row, column) indices.
+
+    With room all that lie within it of the k-th are given.
+    """
     if not scores.size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     floor_ = -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
@@ -36,7 +39,9 @@ def best_of(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tup
     keep = min(k, scores.shape[1])
     # All that tie with the k-th are taken first; ids decide among them.
     limit = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-    row, col = np.nonzero((scores >= limit[:, None]) & (scores > floor_))
+    row, col = np.nonzero((scores >= limit[:, None] - room if room else scores >= limit[:, None]) & (scores > floor_))
+    if room:
+        return row, col
     order = np.lexsort((ids[col], -scores[row, col], row))
     row, col = row[order], col[order]
     starts = np.searchsorted(row, row, "left")
