@@ -1,7 +1,9 @@
 """Licence scans by conditional compression.
 
-A candidate block is a line of a document, or the paragraph around it, that
-shares a tell-tale word with the templates. It is compressed alone and with
+A candidate block is a part of a paragraph that shares a tell-tale word with
+the templates: the words that would be a template's around it, a line, or one
+of overlapping windows of several sizes, so that a notice of any length lies in
+a block not much longer. A block is compressed alone and with
 each template as a zstandard raw dictionary; templates are ranked by the bytes
 they save, and the best are confirmed by the exact wording that differs.
 """
@@ -9,7 +11,8 @@ they save, and the best are confirmed by the exact wording that differs.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -51,6 +54,7 @@ SHARED = 0.8
 TELLTALE = 7
 
 _WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
+_MARKS = re.compile(r"[^\w\s]*")
 
 
 def _words(text: str) -> list[str]:
@@ -79,17 +83,23 @@ class LicenceScanner:
         self.given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, _, words in self.templates]
         self.tell = ahocorasick.Automaton()
         for word in _telltale(templates):
-            self.tell.add_word(word, word)
+            # (words before it, words) of the templates that have it.
+            self.tell.add_word(word, sorted({(at, len(words)) for _, _, words in self.templates for at, w in enumerate(words) if w == word}))
         self.tell.make_automaton()
+        #: Words that a notice may span: from twice the shortest template's to more than twice the longest's.
+        sizes = [len(words) for _, _, words in self.templates] or [1]
+        self.reaches = [2 * min(sizes)]
+        while self.reaches[-1] < 2 * max(sizes):
+            self.reaches.append(2 * self.reaches[-1])
         self.kept: dict[str, dict | None] = {}
 
     def tells(self, text: str) -> bool:
         return next(self.tell.iter(text.lower()), None) is not None
 
     def judge(self, block: str) -> dict | None:
-        """The block's licence with its saved bytes and the words that differ; None if no template is confirmed."""
-        words = _words(block)
-        data = " ".join(words).encode()
+        """The licence of a block of words with its saved bytes and the words that differ; None if no template is confirmed."""
+        words = block.split(" ")
+        data = block.encode()
         alone = len(self.plain.compress(data))
         saved = [alone - len(c.compress(data)) for c in self.given]
         ranked = sorted((i for i in range(len(saved)) if saved[i] > 0), key=lambda i: (-saved[i] / max(1, len(self.templates[i][2])) ** 0.5, i))[: self.confirmed]
@@ -97,67 +107,103 @@ class LicenceScanner:
         for i in ranked:
             name, _, wording = self.templates[i]
             matches = [m for m in SequenceMatcher(None, wording, words, autojunk=False).get_matching_blocks() if m.size]
-            held = sum(m.size for m in matches)
-            if held < self.shared * len(wording):
+            held, need = sum(m.size for m in matches), self.shared * len(wording)
+            if held < need:
                 continue
+            # Words far off that match by chance are no part of the notice.
+            for first, second, end in ((0, 1, 0), (-2, -1, -1)):
+                while len(matches) > 1 and matches[second].b - matches[first].b - matches[first].size > 2 * matches[end].size and held - matches[end].size >= need:
+                    held -= matches.pop(end).size
             missing, at = [], 0
             for m in matches:
                 missing += wording[at : m.a]
                 at = m.a + m.size
             missing += wording[at:]
-            inside = words[matches[0].b : matches[-1].b + matches[-1].size]
             extra, at = [], matches[0].b
             for m in matches:
                 extra += words[at : m.b]
                 at = m.b + m.size
-            found = {"licence": name, "template": i, "saved": saved[i], "missing": missing, "extra": extra, "rank": (len(missing) + len(extra), -len(inside))}
+            found = {"licence": name, "template": i, "saved": saved[i], "missing": missing, "extra": extra, "span": (matches[0].b, at), "rank": (len(missing) + len(extra) - held, i)}
             if best is None or found["rank"] < best["rank"]:
                 best = found
         return best
 
+    def windows(self, n: int, hits: list[int]) -> Iterator[tuple[int, int]]:
+        """(start, end) of windows over n words that hold one of hits; what spans up to one of the reaches lies in one of twice that."""
+        for reach in self.reaches:
+            last = -1
+            for hit in hits:
+                for k in range(max(last + 1, hit // reach - 1), hit // reach + 1):
+                    if k * reach < n and (k == 0 or (k + 1) * reach < n):
+                        yield k * reach, min(n, (k + 2) * reach)
+                    last = k
+            if 2 * reach >= n:
+                break
+
+    def notices(self, words: list[str], lines: Sequence[int] = ()) -> list[dict]:
+        """Confirmed notices among a paragraph's words, at separate spans in order; lines are the words that begin one."""
+        block = " ".join(words)
+        starts = [0]
+        for word in words:
+            starts.append(starts[-1] + len(word) + 1)
+        told = [(bisect_right(starts, end) - 1, places) for end, places in self.tell.iter(block)]
+        hits = sorted({hit for hit, _ in told})
+        blocks = {(hit - before, hit - before + n) for hit, places in told for before, n in places if before <= hit <= len(words) - n + before}
+        for hit in hits:
+            k = bisect_right(lines, hit)
+            line = (lines[k - 1] if k else 0, lines[k] if k < len(lines) else len(words))
+            if line[1] - line[0] <= 2 * self.reaches[-1]:
+                blocks.add(line)
+        found = []
+        for start, end in sorted(blocks | set(self.windows(len(words), hits)), key=lambda b: (b[1] - b[0], b)):
+            one = self.look(block[starts[start] : starts[end] - 1])
+            if one:
+                found.append(one | {"span": (start + one["span"][0], start + one["span"][1])})
+        # Found in several windows: the smallest that shows it has come first.
+        out: list[dict] = []
+        for one in sorted(found, key=lambda f: f["rank"]):
+            k = bisect_left(out, one["span"], key=lambda f: f["span"])
+            if (k == 0 or out[k - 1]["span"][1] <= one["span"][0]) and (k == len(out) or one["span"][1] <= out[k]["span"][0]):
+                out.insert(k, one)
+        return out
+
     def scan(self, text: str) -> list[tuple[int, int, dict]]:
-        """(start, end, finding) of each line that holds a licence notice, or of the paragraph where the notice spans lines."""
+        """(start, end, finding) of each licence notice, from its first word to its last with the marks after it."""
         out, at = [], 0
         if not self.tells(text):
             return out
         for paragraph in re.split(r"(\n[ \t]*\n)", text):
-            lines = paragraph.splitlines(keepends=True) if paragraph.strip() else []
-            begin, hits, first = at, [], None
-            for line in lines:
-                if self.tells(line):
-                    first = first or line
-                    found = self.look(line)
-                    if found:
-                        hits.append((begin, begin + len(line.rstrip("\r\n")), found))
-                begin += len(line)
-            if first and len(lines) > 1 and (not hits or any(h[2]["rank"][0] for h in hits)):
-                whole = self.look(paragraph)
-                if whole and (not hits or whole["rank"] < min(h[2]["rank"] for h in hits)):
-                    hits = [(at, at + len(paragraph.rstrip()), whole)]
-            out += hits
+            if self.tells(paragraph):
+                places = list(_WORD.finditer(paragraph))
+                begins = [m.end() for m in re.finditer(r"\r\n|[\r\n]", paragraph)]
+                lines = sorted({bisect_left(places, x, key=re.Match.start) for x in begins} - {0, len(places)})
+                for found in self.notices([m.group().lower() for m in places], lines):
+                    first, end = found["span"]
+                    out.append((at + places[first].start(), at + _MARKS.match(paragraph, places[end - 1].end()).end(), found))
             at += len(paragraph)
         return out
 
     def look(self, block: str) -> dict | None:
-        key = block.strip()
-        if len(key) > 2000:
-            return self.judge(key)
-        if key not in self.kept:
+        if len(block) > 2000:
+            return self.judge(block)
+        if block not in self.kept:
             if len(self.kept) >= 50_000:
                 self.kept.clear()
-            self.kept[key] = self.judge(key)
-        return self.kept[key]
+            self.kept[block] = self.judge(block)
+        return self.kept[block]
 
 
 def scan_licences(documents: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, confirmed: int = CONFIRMED, shared: float = SHARED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, licence, saved_bytes, missing, extra, exact): one row per confirmed licence notice.
 
-    start and end are character positions; missing are the template's words
-    that the block lacks, extra those between its matches that the template
-    lacks. Whole texts are scanned. Null and empty texts have no row; repeated
-    rows repeat their notices; of templates that fit alike the one with the
-    fewest differences, then the longest match, then the first counts. An
-    empty table gives no rows. Other columns are not read.
+    start and end are character positions of the notice; missing are the
+    template's words that it lacks, extra those between its matches that the
+    template lacks. Whole texts are scanned, whatever the length of their lines;
+    a notice lies in one paragraph, its words within more than twice the longest
+    template's. Null and empty texts have no row; repeated rows repeat their
+    notices; of templates that fit at one place the one with the most words in
+    common less those that differ, then the first counts. An empty table gives
+    no rows. Other columns are not read.
     """
     key = hash((tuple((k, tuple(v)) for k, v in sorted(templates.items())), confirmed, shared))
     templates = dict(templates)

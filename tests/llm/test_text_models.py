@@ -119,3 +119,17 @@ def test_licences(spark):
     assert set(got) == {0, 1, 2, 3, 4, 8} and got[8].licence == "CC-BY-NC-4.0"
     assert rows[1][1][got[1].start : got[1].end] == "Released under the MIT License."
     assert licences.scan_licences(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n", [100, 1000, 20_000])
+def test_licences_in_long_lines(documents, n):
+    scanner, words = licences.LicenceScanner(licences.TEMPLATES), " ".join(documents.text.dropna().head(900)).split()
+    for notice, licence in (("All rights reserved.", "all-rights-reserved"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0")):
+        for at in (0, 15_000, 30_000):
+            line = words[at : at + n]
+            text = " ".join([*line[: n // 2], notice, *line[n // 2 :]])
+            found = [(text[start:end], f["licence"], f["missing"], f["extra"]) for start, end, f in scanner.scan(text)]
+            assert (notice, licence, [], []) in found
+    # Windows that zstandard leaves raw.
+    [(start, end, found)] = scanner.scan("All rights reserved.\nThe eratened th, handha, reat re ates thtintsh eneaer ea.")
+    assert (start, end, found["licence"]) == (0, 20, "all-rights-reserved")
