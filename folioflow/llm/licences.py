@@ -165,7 +165,13 @@ class LicenceScanner:
             k = bisect_left(out, one["span"], key=lambda f: f["span"])
             if (k == 0 or out[k - 1]["span"][1] <= one["span"][0]) and (k == len(out) or one["span"][1] <= out[k]["span"][0]):
                 out.insert(k, one)
-        return out
+        # A block gives its best notice only: the words outside of those found are looked at again.
+        ends = [0, *(one["span"][1] for one in out)] if out else []
+        rest = [(start, end) for start, end in zip(ends, [*(one["span"][0] for one in out), len(words)]) if start < end]
+        for start, end in rest:
+            for one in self.notices(words[start:end], [k - start for k in lines if start < k < end]):
+                out.append(one | {"span": (start + one["span"][0], start + one["span"][1])})
+        return sorted(out, key=lambda f: f["span"])
 
     def scan(self, text: str) -> list[tuple[int, int, dict]]:
         """(start, end, finding) of each licence notice, from its first word to its last with the marks after it."""
@@ -198,7 +204,8 @@ def scan_licences(documents: DataFrame, templates: Mapping[str, list[str]] = TEM
 
     start and end are character positions of the notice; missing are the
     template's words that it lacks, extra those between its matches that the
-    template lacks. Whole texts are scanned, whatever the length of their lines;
+    template lacks; notices of one line or paragraph have a row each. Whole
+    texts are scanned, whatever the length of their lines;
     a notice lies in one paragraph, its words within more than twice the longest
     template's. Null and empty texts have no row; repeated rows repeat their
     notices; of templates that fit at one place the one with the most words in

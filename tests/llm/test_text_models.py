@@ -133,3 +133,16 @@ def test_licences_in_long_lines(documents, n):
     # Windows that zstandard leaves raw.
     [(start, end, found)] = scanner.scan("All rights reserved.\nThe eratened th, handha, reat re ates thtintsh eneaer ea.")
     assert (start, end, found["licence"]) == (0, 20, "all-rights-reserved")
+
+
+def test_licences_side_by_side():
+    scanner = licences.LicenceScanner(licences.TEMPLATES)
+    found = lambda text: [(text[start:end], f["licence"], f["missing"], f["extra"]) for start, end, f in scanner.scan(text)]
+    header = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    assert found(f"Copyright (c) X. All rights reserved.\n{header}") == [("All rights reserved.", "all-rights-reserved", [], []), (header, "BSD", [], [])]
+    assert found("Released under the MIT License. Licensed under CC BY 4.0.") == [("Released under the MIT License.", "MIT", [], []), ("Licensed under CC BY 4.0.", "CC-BY-4.0", [], [])]
+    assert [x[1:] for x in found("Released under MIT License. Licensed by X under CC BY 4.0. Released under MIT License")] == [("MIT", ["the"], []), ("CC-BY-4.0", [], ["by", "x"]), ("MIT", ["the"], [])]
+    for text in sum(licences.TEMPLATES.values(), []):
+        assert [x[2:] for x in found(f"{text} {text}\n{text}")] == [([], [])] * 3
+    every = [(text, name, [], []) for name, texts in licences.TEMPLATES.items() for text in texts]
+    assert found(" ".join(x[0] for x in every)) == every
