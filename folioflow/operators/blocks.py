@@ -46,17 +46,27 @@ def text_blocks(documents: DataFrame, lines_per_page: int = 3, id_col: str = "do
     return complete(rows.withColumn("type", T.block_type(F.col("label"))).withColumn("heading_level", F.when(F.col("type") == "heading", T.heading_level(F.lit(None).cast("int"), F.col("label")))))
 
 
-#: Opening tags of blocks in a page, with the text up to the next tag.
-PAGE_BLOCK = r"<(?:h1|p|li)[ >][^<]*"
+_BLOCKY = "h[1-6]|p|li|ul|ol|dl|dt|dd|div|article|section|nav|header|footer|main|aside|table|caption|thead|tbody|tfoot|tr|td|th|pre|blockquote|form|fieldset|figure|figcaption|address|hr|details|summary|body|html"
+_ENDS_ITEM = "/?(?:h1|p|li)|/(?:ul|ol|article|section|nav|header|footer|main|aside|body|html)"
+#: Blocks in a page: the opening tag and all up to the closing tag or the next block; in list items other elements may stand.
+PAGE_BLOCK = rf"(?i)<(?:(?:h1|p)(?:\s[^>]*)?>[^<]*+(?:<(?!/?(?:{_BLOCKY})[\s/>])[^<]*+)*+|li(?:\s[^>]*)?>[^<]*+(?:<(?!(?:{_ENDS_ITEM})[\s/>])[^<]*+)*+)"
+#: What is no text in a page, tags that part words, and all other tags.
+_NO_TEXT = r"(?is)<!--.*?-->|<(script|style)(?:\s[^>]*)?>.*?</\1\s*>"
+_PARTING = rf"(?i)</?(?:br|{_BLOCKY})(?:[\s/][^>]*)?>"
+_TAG = r"<[/!?]?[a-zA-Z][^>]*>"
 
 
 def html_blocks(pages: DataFrame, blocks_per_page: int = 10, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Headings, paragraphs and list items of raw pages as blocks."""
-    found = F.regexp_extract_all(html_col, F.lit(PAGE_BLOCK), F.lit(0))
+    """Headings, paragraphs and list items of raw pages as blocks, with all their text; blank ones go.
+
+    Text that follows a block inside a list item is in no block.
+    """
+    found = F.regexp_extract_all(F.regexp_replace(html_col, _NO_TEXT, ""), F.lit(PAGE_BLOCK), F.lit(0))
     rows = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(found).alias("pos", "tagged"))
-    tag = F.regexp_extract("tagged", "^<([a-z0-9]+)", 1)
+    tag = F.lower(F.regexp_extract("tagged", "^<([a-zA-Z0-9]+)", 1))
     label = F.when(tag == "h1", "title").when(tag == "li", "list_item").otherwise("text")
-    rows = rows.select("doc_id", "pos", (F.floor(F.col("pos") / blocks_per_page) + 1).cast("int").alias("page"), label.alias("label"), F.regexp_replace("tagged", "^<[^>]*>", "").alias("content"))
+    content = F.regexp_replace(F.regexp_replace(F.regexp_replace("tagged", "^<[^>]*>", ""), _PARTING, " "), _TAG, "")
+    rows = rows.select("doc_id", "pos", (F.floor(F.col("pos") / blocks_per_page) + 1).cast("int").alias("page"), label.alias("label"), T.strip(content).alias("content"))
     rows = rows.withColumn("type", T.block_type(F.col("label"))).withColumn("heading_level", F.when(F.col("type") == "heading", F.lit(1)))
     return complete(rows.where("content <> ''"))
 

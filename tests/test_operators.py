@@ -1,6 +1,7 @@
 """Operators over blocks and chunks, against literal results and plain Python."""
 
 import random
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -217,3 +218,46 @@ def test_routes(spark):
     df = spark.createDataFrame([("pdf", "epub"), (".MD", "markdown"), ("doc", "md")], "a string, b string").coalesce(1)
     got = {r.a: r.steps for r in route(df, F.col("a"), F.col("b")).collect()}
     assert got == {"pdf": ["extract", "segment", "assemble", "export_epub"], ".MD": ["copy"], "doc": None}
+
+
+class PageText(HTMLParser):
+    """Text of h1, p and li elements, each up to its end or the next block."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=False)
+        self.out, self.open = [], None
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("h1", "p", "li"):
+            self.out.append([tag, ""])
+            self.open = tag
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("h1", "p", "li", "ul", "article", "footer", "body"):
+            self.open = None
+
+    def handle_data(self, text):
+        if self.open and self.cdata_elem is None:
+            self.out[-1][1] += text
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+
+def test_html_blocks_have_all_their_text(spark):
+    odd = [
+        '<ul><li class="a"><a href="/x">One</a></li><li>Two <b>bold</b> end<ul><li><a>Inner</a></li></ul></ul><h1><span>T</span>itle</h1>',
+        "<p>a<br>b<br/>c <i>d</i>e<p><b>open<br></p><LI><A>Up</A></LI><p>tail <a>link</a> more</article><footer>no</footer>",
+        "<script>var t='<p>no</p>';</script><p>x<!-- <p>no</p> --> y<style>p{}</style></p><p> </p><p>1 < 2 &amp; 3</p><link><pre>no</pre><li>" + "z<b>y</b>" * 20_000 + "</li>",
+    ]
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").union(spark.createDataFrame([(-1 - k, x) for k, x in enumerate(odd)], "page_id long, html string"))
+    kinds = {"h1": "heading", "p": "paragraph", "li": "list_item"}
+    want = [(r.page_id, pos, kinds[tag], text.strip()) for r in pages.collect() for pos, (tag, text) in enumerate(PageText(r.html).out) if text.strip()]
+    got = [(r.doc_id, r.pos, r.type, r.content) for r in blocks.html_blocks(pages).collect()]
+    assert sorted(got) == sorted(want)
+    assert [g[3] for g in sorted(got) if g[0] == -1] == ["One", "Two bold end", "Inner", "Title"]
+    assert [g[3] for g in sorted(got) if g[0] == -2] == ["a b c de", "open", "Up", "tail link more"]
