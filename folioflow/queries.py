@@ -221,7 +221,7 @@ def f1_f2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT doc_id, md5(regexp_replace(replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), 'tion ', 'ti-' || chr(10) || ' on '), '(\b[a-zA-Z]+)-\s*(?:\r?\n)\s*([a-zA-Z]+)\b', '\1\2', 'g')) AS joined_md5 FROM documents")
 def f3_dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words cut at line ends put together."""
-    text = F.replace(F.regexp_replace("text", r"[^\x00-\x7F]", ""), F.lit("tion "), F.lit("ti-\n on "))
+    text = F.replace("text", F.lit("tion "), F.lit("ti-\n on "))
     return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.dehyphenate(text)).alias("joined_md5"))
 
 

@@ -1,6 +1,8 @@
 """Operators over blocks and chunks, against literal results and plain Python."""
 
+import hashlib
 import random
+import re
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from folioflow.functions import glossary as G
 from folioflow.operators import assembly, blocks, checkpoints, cleaning, progress, segmentation
 from folioflow.operators import translation as R
 from folioflow.plans.convert import route, translate_documents
+from folioflow.queries import QUERIES
 from folioflow.sources import files
 from folioflow.sources.settings import ConfigError, Settings, load_glossary, load_settings, load_state
 from folioflow.streaming.resume import merge_stream, read_states
@@ -261,3 +264,18 @@ def test_html_blocks_have_all_their_text(spark):
     assert sorted(got) == sorted(want)
     assert [g[3] for g in sorted(got) if g[0] == -1] == ["One", "Two bold end", "Inner", "Title"]
     assert [g[3] for g in sorted(got) if g[0] == -2] == ["a b c de", "open", "Up", "tail link more"]
+
+
+def test_dehyphenate_query_takes_whole_texts(spark, tmp_path):
+    texts = ["na tion al", "ação na tion é", "é-\nb", "aé-\nb", "éa-\n b", "a-\nbé", "a-\néb", "日本 tion x", "日a-\nb", "Straße-\nbahn über-\r\n gang", "a-\nb-\nc", "x1-\ny", "a_-\nb", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def joined(text):
+        """ASCII letters, a hyphen, a line end with white space around, ASCII letters, at words' edges."""
+        text, out, at = text.replace("tion ", "ti-\n on "), "", 0
+        for m in re.finditer(r"\b([a-zA-Z]+)-\s*(?:\r?\n)\s*([a-zA-Z]+)\b", text):
+            out, at = out + text[at : m.start()] + m[1] + m[2], m.end()
+        return out + text[at:]
+
+    got = {r.doc_id: r.joined_md5 for r in QUERIES["f3_dehyphenate"](spark, str(tmp_path)).collect()}
+    assert got == {i: t if t is None else hashlib.md5(joined(t).encode()).hexdigest() for i, t in enumerate(texts)}
