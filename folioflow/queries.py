@@ -207,7 +207,7 @@ NUMBERED = "(VALUES ('%d'), (' %d '), ('Page %d'), ('pág. %d'), ('- %d -'), ('[
 def c2_page_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-number lines, exempt headings and normal forms."""
     forms = ["%d", " %d ", "Page %d", "pág. %d", "- %d -", "[ %d ]", "%d / 10", "%d of 30", "Chapter %d: The Beginning", "There are %d workers.", "Section %d.1 Overview", ""]
-    rows = _read(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", F.explode(F.array(*map(F.lit, forms))).alias("form"))
+    rows = _read(spark, sf_dir, "events").select("event_id", "user_id", F.explode(F.array(*map(F.lit, forms))).alias("form"))
     text = F.replace("form", F.lit("%d"), F.col("user_id").cast("string"))
     return rows.select("event_id", "form", T.is_page_number(text).alias("is_page_number"), T.is_exempt_heading(text).alias("is_exempt"), T.running_form(text).alias("running"))
 

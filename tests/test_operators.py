@@ -279,3 +279,13 @@ def test_dehyphenate_query_takes_whole_texts(spark, tmp_path):
 
     got = {r.doc_id: r.joined_md5 for r in QUERIES["f3_dehyphenate"](spark, str(tmp_path)).collect()}
     assert got == {i: t if t is None else hashlib.md5(joined(t).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_page_number_lines_of_all_events(spark, tmp_path):
+    events = [(0, 7, "error"), (1, 12, "view"), (2, 0, None), (3, 345, "click")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["c2_page_number_lines"](spark, str(tmp_path)).collect()
+    assert len(got) == 12 * len(events) and all(sum(r.event_id == i for r in got) == 12 for i, _, _ in events)
+    numbers = {"%d", " %d ", "Page %d", "pág. %d", "- %d -", "[ %d ]", "%d / 10", "%d of 30"}
+    assert all(r.is_page_number == (r.form in numbers) and r.is_exempt == r.form.startswith(("Chapter", "Section")) for r in got)
+    assert all(r.running == re.sub(r"\d+", "#", r.form.replace("%d", "1").lower().strip()) for r in got)
