@@ -10,6 +10,8 @@ gives the result, whatever the blocks.
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +25,7 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 4096
 #: Queries whose dense score arrays are held at once.
 QUERY_STEP = 64
-#: Weights are held between minus and plus this, so that 64-bit scores don't overflow.
+#: Weights between minus and plus this, or less where vectors are long, are added up in 64 bits; rows with larger ones are scored with Python's integers.
 LARGEST = 1 << 28
 
 
@@ -64,10 +66,20 @@ def term_at_a_time(candidates: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return scores.T
 
 
+def whole(values: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as Python integers."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(values * float(scale))
+    out = np.empty(values.shape, object)
+    out.flat = [int(y) if np.isfinite(y) else int(x) * scale for x, y in zip(values.flat, scaled.flat)]
+    return out
+
+
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) of each query row's k best of all other rows by integer inner product.
 
-    Components become floor(scale * x). Vectors that are null or hold null or
+    Components become floor(scale * x), of any size; a product that fits no
+    long is that of weights held between minus and plus LARGEST. Vectors that are null or hold null or
     non-finite components take no part, nor do rows without an id; shorter
     vectors count as padded with zeros; rows of one id repeat as candidates are
     one candidate each, of which none answers that id. Ties go to the smaller
@@ -75,23 +87,44 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     """
     id_type = vectors.schema[id_col].dataType.simpleString()
     rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull())
-    weights = F.transform(vector_col, lambda x: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(x.cast("double") * scale))).cast("long"))
-    rows = materialize(rows.select(F.col(id_col).alias("id"), weights.alias("w"), F.coalesce(is_query, F.lit(False)).alias("asks")), "weights")
+    values = F.transform(vector_col, lambda x: x.cast("double"))
+    rows = materialize(rows.select(F.col(id_col).alias("id"), values.alias("w"), F.coalesce(is_query, F.lit(False)).alias("asks")), "weights")
     dim, n = dimension(rows, "w"), rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     blocks, parts = -(-n["n"] // BLOCK_ROWS) or 1, -(-n["q"] // QUERY_ROWS) or 1
     dealt = rows.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "part": F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(parts)).cast("int")})
     stored = dealt.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("asks"), "id", "w")
     asked = dealt.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "part", F.lit(True).alias("asks"), "id", "w")
 
+    limit, most = min(LARGEST, isqrt((2**63 - 1) // max(1, dim))), 2**63 - 1
+
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         asks = table["asks"].to_numpy()
-        ids, given = table["id"].to_numpy(), list_matrix(table["w"].chunk(0), dim).astype(np.int64)
+        ids, values = table["id"].to_numpy(), list_matrix(table["w"].chunk(0), dim)
+        with np.errstate(over="ignore"):
+            scaled = np.floor(values * float(scale))
+        given, wide = np.clip(scaled, -limit, limit).astype(np.int64), (np.abs(scaled) > limit).any(axis=1)
         queries, query_ids = given[asks], ids[asks]
         stored_rows, stored_ids = given[~asks], ids[~asks]
+        wide_queries, wide_stored = wide[asks], np.flatnonzero(wide[~asks])
+        asked_values, stored_values = values[asks], values[~asks]
+        wide_rows = whole(stored_values[wide_stored], scale)
+        all_rows = whole(stored_values, scale) if wide_queries.any() else None
+
+        def correct(scores: np.ndarray, at: int) -> None:
+            """Exact products of the rows with large weights in place of those of held ones."""
+            for k in range(len(scores)):
+                some, rows_ = (np.arange(len(stored_values)), all_rows) if wide_queries[at + k] else (wide_stored, wide_rows)
+                if len(some):
+                    for j, x in zip(some, rows_ @ whole(asked_values[at + k], scale)):
+                        if -most <= x <= most:
+                            scores[k, j] = x
+
         out = []
         for at in range(0, len(queries), QUERY_STEP):
             scores = term_at_a_time(stored_rows, queries[at : at + QUERY_STEP])
+            if wide.any():
+                correct(scores, at)
             row, col = best_of(scores, stored_ids, query_ids[at : at + QUERY_STEP], k)
             out.append((query_ids[at : at + QUERY_STEP][row], stored_ids[col], scores[row, col]))
         return pa.table([np.concatenate([x[i] for x in out] or [np.zeros(0, np.int64)]) for i in range(3)], names=["query_id", "id", "score"])

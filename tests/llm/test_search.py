@@ -47,6 +47,24 @@ def test_exact_top_k(spark, rows, monkeypatch):
     assert sorted(map(tuple, got)) == want
 
 
+def test_exact_top_k_of_large_weights(spark):
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(size=(120, 8)) * 2.0 ** rng.integers(0, 22, size=(120, 8)))
+    x[:40] = rng.normal(size=(40, 8))
+    x[60, :], x[61, :] = [2.0**100] + [0] * 7, [0, 3e6] + [1] * 6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    weigh = lambda a: [int(np.floor(256 * v)) for v in a]
+    score = lambda a, b: sum(p * q for p, q in zip(weigh(a), weigh(b)))
+    fits = [(i, v) for i, v in rows if all(abs(score(np.float64(np.float32(v)), np.float64(np.float32(w)))) < 2**63 for _, w in rows[::50])]
+    assert len(fits) > 100 and np.abs(x).max(axis=1)[[i for i, _ in fits]].max() > 2**20
+    got = exact_topk.exact_top_k(frame(spark, fits), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(map(tuple, got)) == brute(fits, score, True)
+    # A weight beyond a long, where the product is not.
+    apart = [(0, [0.0, 1.0] + [0.0] * 6), (1, [2.0**100, 2.0] + [0.0] * 6), (2, [0.0, 3.0] + [0.0] * 6)]
+    got = exact_topk.exact_top_k(frame(spark, apart), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 2, 3 * 65536), (0, 2, 1, 2 * 65536)]
+
+
 def test_one_part_is_exact(spark, rows):
     cosine = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)))
     want = brute(rows, cosine, False)
