@@ -2,41 +2,43 @@
 
 from __future__ import annotations
 
-import atexit
+import pickle
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
+#: Used in local mode where the session names no spark.checkpoint.dir, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/folioflow"
 
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
 _MIX1 = _U(0xBF58476D1CE4E5B9)
 _MIX2 = _U(0x94D049BB133111EB)
-_cleanup: set[str] = set()
+_made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from the session's spark.checkpoint.dir."""
+    """The folder all executors share, under spark.checkpoint.dir; it goes when the driver's JVM ends, spark.stop() or not.
+
+    Without that setting a session on a cluster is refused, as no folder is known to be shared.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = (base or FALLBACK_DIR).rstrip("/") + "/" + spark.sparkContext.applicationId
-    if base not in _cleanup:
-        _cleanup.add(base)
-        atexit.register(_remove, spark, base)
+    if base not in _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _made.add(base)
     return base
 
 
-def _remove(spark: SparkSession, base: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
@@ -45,6 +47,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of a bounded sample, run in one task, so that the driver holds the model alone; None for an empty sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(got)))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
+
+
 _worker: dict[str, object] = {}
 
 

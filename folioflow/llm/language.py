@@ -17,11 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_worker_cache, worker_cache
+from .common import drop_worker_cache, fit_in_task, materialize, worker_cache
 from .wordrows import COMPUTED, WordRows, codes_of, slices_of_texts
 
 #: Learning texts per language at most, and of all languages together.
@@ -163,19 +162,18 @@ class LanguageModel:
 
 
 def learn_languages(documents: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE, most: int = TEXTS) -> LanguageModel | None:
-    """Fit on a bounded sample of rows where ``learn`` holds: about per_language texts of each language, by a hash of the text."""
+    """Fit on a bounded sample of rows where ``learn`` holds: whole texts of the smallest hashes, at most ``most`` of them.
+
+    Each of n languages gives about min(per_language, most / n) texts; with
+    more than ``most`` languages some are not learned. Which rows are taken
+    depends on their text and language alone. The fit runs in a task.
+    """
     labelled = documents.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    each = max(1, min(per_language, most // len(counts)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))])
+    counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = max(1, min(per_language, most // max(1, counts.count())))
     point = F.pmod(F.xxhash64(F.lit("languages"), "text"), F.lit(1 << 20)) / float(1 << 20)
-    rows = labelled.where(point < share[F.col("lang")]).withColumn("point", point).orderBy("point", "text").limit(2 * most).toArrow()
-    texts, langs = rows["text"].to_pylist(), rows["lang"].to_pylist()
-    del rows
-    pa.default_memory_pool().release_unused()
-    return LanguageModel.fit(texts, langs)
+    sample = labelled.join(counts, "lang").withColumn("point", point).where(F.col("point") < each / F.col("n")).orderBy("point", "text", "lang").limit(most)
+    return fit_in_task(sample.select("text", "lang"), lambda rows: LanguageModel.fit(rows["text"].to_pylist(), rows["lang"].to_pylist()))
 
 
 def identify_language(documents: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
