@@ -102,6 +102,75 @@ def test_kernel_is_exact():
     assert np.allclose(toxicity.kernel(words, words), want, atol=1e-6)
 
 
+def word_features(w):
+    w, out = f"^{w}$", {}
+    for i in range(len(w)):
+        for j in range(i + 1, len(w)):
+            for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
+                key = w[i] + w[j] + w[k]
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i - 2)
+    size = sum(v * v for v in out.values()) ** 0.5
+    return {k: v / size for k, v in out.items()}
+
+
+def phrase_kernel(a, b):
+    pairs = [sum(v * g.get(k, 0) for k, v in f.items()) for f in map(word_features, a) for g in map(word_features, b)]
+    return sum(pairs) / (len(a) * len(b)) ** 0.5
+
+
+def test_phrase_kernel_beyond_latin():
+    phrases = [("abcd", "idiot"), ("axbycz",), ("дурак", "aab", "дура"), ("фурак",)]
+    want = [[phrase_kernel(a, b) for b in phrases] for a in phrases]
+    assert np.allclose(toxicity.phrase_features(phrases, phrases), want, atol=1e-5)
+    assert toxicity.kernel(["дурак"], ["фурак"])[0, 0] < 0.8
+
+
+def plain_margin(model, text):
+    """The decision function phrase by phrase, from landmarks and their weights."""
+    best, sentence = 0.0 if not text.split() else -np.inf, []
+    for w in toxicity.tokens(text) + ["."]:
+        sentence.append(w)
+        if w[-1] in ".!?":
+            for i in range(len(sentence)):
+                for n in range(1, min(toxicity.PHRASE, len(sentence) - i) + 1):
+                    words = [f for f in map(toxicity.fold, sentence[i : i + n]) if len(f) > 2]
+                    # Words of less than three letters count in a phrase's length alone.
+                    value = sum(b * phrase_kernel(words, m) * (len(words) / n) ** 0.5 for b, m in zip(model.beta, model.landmarks)) if words else 0.0
+                    best = max(best, value)
+            sentence = []
+    return best + model.offset
+
+
+def test_margins_equal_the_kernel_machine():
+    clean = [f"the {a} and {b} of. this is {b} only" for a in ("tree", "house", "river", "stone") for b in ("green", "tall", "quiet")]
+    bad = [f"the {a} is a {b}. of it" for a in ("tree", "house", "river") for b in ("grubbel", "waste of space", "snarfo")]
+    model = toxicity.fit_toxicity(clean + bad, [0] * len(clean) + [1] * len(bad), landmarks=24)
+    texts = clean[:3] + bad[:4] + ["", "a", "gr ub bel", "s n a r f o!", "no. it is waste. of space", "grubbbel"]
+    assert np.allclose(model.text_margins(texts), [plain_margin(model, t) for t in texts], atol=1e-4)
+    scores = model.scores(bad + clean)
+    assert (scores[: len(bad)] >= 0.7).all() and (scores[len(bad) :] < 0.7).all()
+    assert (model.scores(["what a grubbbel", "a s n a r f o"]) > model.scores(clean).max()).all()
+
+
+def test_squared_hinge_is_at_its_minimum():
+    rng = np.random.default_rng(0)
+    z, y, c = rng.normal(size=(60, 4)), np.sign(rng.normal(size=60)), rng.uniform(0.5, 2, 60)
+    w, b = toxicity.squared_hinge(z, y, c)
+    cost = lambda w, b: (w @ w + 1e-3 * b * b) / 2 + (c * np.maximum(0, 1 - y * (z @ w + b)) ** 2).sum()
+    assert all(cost(w + d[:4], b + d[4]) >= cost(w, b) for d in rng.normal(scale=1e-2, size=(200, 5)))
+
+
+def test_toxicity_learning_is_the_same_whatever_the_order(spark):
+    rows = [(i, f"the {w} of it", "x") for i, w in enumerate(["tree", "house", "grubbel", "river", "grubbel", "stone"] * 3)]
+    rows += rows[:4] + [(2, "zzz grubbel", "y"), (None, "grubbel", None), (77, None, None)]
+    labels = spark.createDataFrame([(i, int(w[1].find("grubbel") >= 0)) for i, w in enumerate(rows[:18])] + [(3, None), (None, 1), (77, 1), (4, 0)], "doc_id long, toxic int")
+    tables = [spark.createDataFrame(r, "doc_id long, text string, toxic string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 3))]
+    a, b = (toxicity.learn_toxicity(t, labels, F.lit(True)) for t in tables)
+    assert np.array_equal(a.table, b.table) and a.shift == b.shift
+    assert [r._toxicity >= 0.7 for r in toxicity.score_toxicity(tables[0].where("doc_id = 2 or doc_id = 0").orderBy("doc_id"), a).collect()] == [False, False, True, True, True]
+    assert toxicity.learn_toxicity(tables[0], labels.where("false"), F.lit(True)) is None
+
+
 def test_licences(spark):
     texts = {
         "Licensed under the Apache License, Version 2.0.": ("Apache-2.0", [], [], True),
