@@ -78,8 +78,8 @@ def whole(values: np.ndarray, scale: int) -> np.ndarray:
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) of each query row's k best of all other rows by integer inner product.
 
-    Components become floor(scale * x), of any size; a product that fits no
-    long is that of weights held between minus and plus LARGEST. Vectors that are null or hold null or
+    Components become floor(scale * x), of any size, and products are exact; one
+    that fits no long is the nearest number that does. Vectors that are null or hold null or
     non-finite components take no part, nor do rows without an id; shorter
     vectors count as padded with zeros; rows of one id repeat as candidates are
     one candidate each, of which none answers that id. Ties go to the smaller
@@ -117,8 +117,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
                 some, rows_ = (np.arange(len(stored_values)), all_rows) if wide_queries[at + k] else (wide_stored, wide_rows)
                 if len(some):
                     for j, x in zip(some, rows_ @ whole(asked_values[at + k], scale)):
-                        if -most <= x <= most:
-                            scores[k, j] = x
+                        scores[k, j] = max(-most, min(most, x))
 
         out = []
         for at in range(0, len(queries), QUERY_STEP):
