@@ -3,32 +3,39 @@
 On a bounded sample a neighbour graph is built and cut into parts of equal
 size that keep neighbours together. A small network learns, from a vector, in
 which parts its neighbours lie. Every vector is stored in its most probable
-part; a query is sent to its several most probable parts, where exact cosines
-decide. Parts are dealt into blocks of bounded size, so a part that holds a
+part; a query is sent to its most probable parts, up to a share of probability,
+where exact cosines decide. That share is measured: some rows' true neighbours,
+found by a scan of all rows, say how far down the parts one has to go for the
+recall asked for, so tables with structure are searched in few parts and others
+in more. Parts are dealt into blocks of bounded size, so a part that holds a
 third of all vectors is searched by many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sampled_rows
+from .common import fit_in_task, materialize, sampled_rows
 from .exact_topk import best_of, merge_best
-from .vectors import dimension, list_matrix, matrix, usable
-
-#: Rows of the sample that the graph and the network are fitted on, at most.
-SAMPLE_ROWS = 6144
-#: Vectors of a part to aim at, and parts at most.
-PART_ROWS = 1600
-MOST_PARTS = 256
-#: Of all parts, the share that a query visits.
-VISITED = 0.45
-#: Parts that a vector is stored in.
-COPIES = 2
+from .vectors import list_matrix, matrix, usable
+
+#: Share of true neighbours to find on the rows that the search depth is measured on.
+RECALL = 0.94
+#: Rows that the graph and the network are fitted on: so many times the root of all rows, within these bounds; parts are the root of all rows, of SAMPLE_OF_PART sample rows at least.
+SAMPLE_PER_ROOT = 64
+SAMPLE_LEAST, SAMPLE_MOST = 2048, 65_536
+SAMPLE_OF_PART = 20
+#: Sample rows that the network sees in its training, repeats counted.
+SEEN = 480_000
+#: Rows that the depth is measured on.
+MEASURED = 512
 #: Neighbours of a vector in the graph.
 NEIGHBOURS = 10
 #: Rows of a block of stored vectors and of queries.
@@ -90,14 +97,14 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, sweeps: int
 class Router:
     """A network of one hidden layer from a unit vector to the parts of its neighbours."""
 
-    def __init__(self, x: np.ndarray, share: np.ndarray, hidden: int = 256, epochs: int = 80, batch: int = 128, rate: float = 3e-3):
+    def __init__(self, x: np.ndarray, share: np.ndarray, hidden: int = 256, batch: int = 128, rate: float = 3e-3):
         rng = np.random.default_rng(0)
         sizes = [(x.shape[1], hidden), (hidden, share.shape[1])]
         self.w = [rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in sizes]
         self.b = [np.zeros(b) for _, b in sizes]
         params = self.w + self.b
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        step = 0
+        step, epochs = 0, int(np.clip(SEEN // len(x), 8, 80))
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
@@ -116,19 +123,30 @@ class Router:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def parts(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n most probable parts of each row, best first."""
-        z = np.maximum(x @ self.w[0] + self.b[0], 0) @ self.w[1] + self.b[1]
-        return np.argsort(-z, axis=1, kind="stable")[:, :n]
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Of each row's neighbours to lie in each part."""
+        return self._softmax(np.maximum(x @ self.w[0] + self.b[0], 0) @ self.w[1] + self.b[1])
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The part that each row is stored in."""
+        return self.probabilities(x).argmax(axis=1)
+
+    def before(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(parts, mass): each row's parts by falling probability, and the probability of those before each."""
+        p = self.probabilities(x)
+        order = np.argsort(-p, axis=1, kind="stable")
+        p = np.take_along_axis(p, order, 1)
+        return order, np.cumsum(p, axis=1) - p
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_router(sample: np.ndarray, parts: int) -> Router | None:
-    """Graph, partition and network on unit vectors; None for a single part."""
-    parts = min(parts, len(sample) // (2 * NEIGHBOURS))
+def fit_router(sample: np.ndarray, parts: int, least: int = SAMPLE_OF_PART) -> Router | None:
+    """Graph, partition and network on unit vectors, of which equal ones count once and a part holds ``least`` or more; None for a single part."""
+    sample = np.unique(sample, axis=0)
+    parts = min(parts, len(sample) // least)
     if parts < 2:
         return None
     graph = neighbour_graph(sample, min(NEIGHBOURS, len(sample) - 1))
@@ -138,45 +156,71 @@ def fit_router(sample: np.ndarray, parts: int) -> Router | None:
     return Router(sample, share)
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, sample_rows: int = SAMPLE_ROWS, visited: float = VISITED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search_depth(routed: DataFrame, router: Router, dim: int, k: int, recall: float) -> float:
+    """The probability that parts before the last one visited may hold, for the recall asked for on MEASURED rows against a scan of all."""
+    some = sampled_rows(routed.select("id", "v"), "id", MEASURED, "depth").toArrow().combine_chunks()
+    if not some.num_rows:
+        return 1.0
+    asked, asked_ids = _unit(list_matrix(some["v"].chunk(0), dim)), some["id"].to_numpy()
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's k nearest rows of each measured row, in memory that doesn't grow with its rows."""
+        best = np.full((len(asked), k), -np.inf)
+        part = np.zeros((len(asked), k), np.int32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                ids, v, own = (batch.column(i).slice(at, BLOCK_ROWS) for i in range(3))
+                score = asked @ _unit(list_matrix(v, dim)).T
+                score[asked_ids[:, None] == ids.to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                score = np.hstack([best, score])
+                of = np.hstack([part, np.broadcast_to(own.to_numpy(zero_copy_only=False), (len(asked), len(own)))])
+                near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                best, part = np.take_along_axis(score, near, 1), np.take_along_axis(of, near, 1)
+        found = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(found)[0]), pa.array(best[found]), pa.array(part[found].astype(np.int32))], names=["q", "score", "part"])
+
+    found = routed.select("id", "v", "part").mapInArrow(nearest, "q long, score double, part int")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "part"))).where(F.col("rank") <= k).select("q", "part").toArrow()
+    if not found.num_rows:
+        return 1.0
+    order, mass = router.before(asked)
+    q, part = found["q"].to_numpy(), found["part"].to_numpy()
+    needed = np.sort(np.take_along_axis(mass, np.argsort(order, axis=1), 1)[q, part])
+    return float(needed[int(np.ceil(recall * len(needed))) - 1])
+
+
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each query row the k nearest found of all other rows by cosine, in double precision.
 
-    The graph and router are fitted on the sample_rows rows of smallest hash;
-    every row is stored. Vectors that are null, zero or hold null or non-finite
-    components take no part, nor do rows without an id; shorter vectors count
-    as padded with zeros; rows that repeat an id never answer it. Ties go to
-    the smaller id. A table of few vectors is one part, searched in full; an
-    empty one gives no rows. Other columns are not read.
+    The graph and router are fitted in a task on a bounded sample, the rows of
+    smallest hash; every row is stored, once. Vectors that are null, zero or
+    hold null or non-finite components take no part, nor do rows without an id;
+    shorter vectors count as padded with zeros; rows that repeat an id never
+    answer it. Ties go to the smaller id. A table of fewer than 2 *
+    SAMPLE_OF_PART different vectors is one part; an empty one gives no rows.
+    Other columns are not read.
     """
     id_type = vectors.schema[id_col].dataType.simpleString()
-    rows = vectors.where(usable(vector_col) & F.exists(vector_col, lambda v: v != 0) & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda v: v.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    dim, n = dimension(rows, "v"), rows.count()
-    parts = max(1, min(MOST_PARTS, n // PART_ROWS))
-    router = None
-    if parts > 1:
-        router = fit_router(_unit(matrix([r.v for r in sampled_rows(rows.select("id", "v"), "id", sample_rows, "ann").collect()], dim)), parts)
-    parts = router.w[1].shape[1] if router else 1
-    visits, copies = max(1, int(np.ceil(parts * visited))), min(COPIES, parts)
-    shared = vectors.sparkSession.sparkContext.broadcast(router)
+    routed, router, dim, depth = partitioned(vectors, is_query, k, recall, id_col, vector_col)
+    shared = vectors.sparkSession.sparkContext.broadcast((router, depth))
 
     @F.pandas_udf("array<int>")
-    def route(v: pd.Series) -> pd.Series:
-        if shared.value is None:
+    def visits(v: pd.Series) -> pd.Series:
+        router, depth = shared.value
+        if router is None:
             return pd.Series([[0]] * len(v))
-        return pd.Series(list(shared.value.parts(_unit(matrix(v.to_list(), dim)), max(visits, copies)).astype(np.int32)))
-
-    routed = materialize(rows.withColumn("parts", route("v")).withColumn("row", F.monotonically_increasing_id()), "routed")
-    stored = routed.select(F.explode(F.slice("parts", 1, copies)).alias("part"), F.lit(False).alias("asks"), "row", "id", "v")
-    asking = routed.where("asks").select(F.explode(F.slice("parts", 1, visits)).alias("part"), F.lit(True).alias("asks"), "row", "id", "v")
-    held = {r.part: r.n for r in stored.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    asked = {r.part: r.n for r in asking.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    blocks = F.create_map(*[F.lit(x) for p, m in held.items() for x in (p, -(-m // BLOCK_ROWS))]) if held else F.create_map(F.lit(0), F.lit(1))
-    turns = F.create_map(*[F.lit(x) for p, q in asked.items() for x in (p, -(-q // QUERY_ROWS))]) if asked else F.create_map(F.lit(0), F.lit(1))
-    stored = stored.withColumn("block", F.pmod(F.xxhash64("row"), blocks[F.col("part")]).cast("int"))
-    stored = stored.where(turns[F.col("part")].isNotNull()).withColumn("turn", F.explode(F.sequence(F.lit(0), turns[F.col("part")] - 1)))
-    asking = asking.where(blocks[F.col("part")].isNotNull()).withColumn("turn", F.pmod(F.xxhash64(F.lit(1), "id"), turns[F.col("part")]).cast("int"))
-    asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)))
+        order, mass = router.before(_unit(matrix(v.to_list(), dim)))
+        return pd.Series([o[:n].astype(np.int32) for o, n in zip(order, (mass <= depth).sum(axis=1))])
+
+    asking = routed.where("asks").select(F.explode(visits("v")).alias("part"), F.lit(True).alias("asks"), "row", "id", "v")
+    asking = materialize(asking, "asking")
+    # One row per part, of which there are SAMPLE_MOST / SAMPLE_OF_PART at most.
+    blocks = F.broadcast(routed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
+    turns = F.broadcast(asking.groupBy("part").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("turns")))
+    stored = routed.join(turns, "part").join(blocks, "part")
+    stored = stored.select("part", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"), "row", "id", "v")
+    asking = asking.join(blocks, "part").join(turns, "part")
+    asking = asking.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), F.col("turns")).cast("int").alias("turn"), "asks", "row", "id", "v")
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -201,6 +245,22 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, sample_
         return pa.table([np.concatenate([x[i] for x in out]) if out else pa.array([], t) for i, t in enumerate(types)], names=["query_id", "row", "id", "score"])
 
     found = stored.unionByName(asking).groupBy("part", "block", "turn").applyInArrow(search, f"query_id {id_type}, row long, id {id_type}, score double")
-    # A vector met in two parts counts once.
-    found = found.groupBy("query_id", "row", "id").agg(F.max("score").alias("score"))
-    return merge_best(found, k, id_col)
+    return merge_best(found.select("query_id", "id", "score"), k, id_col)
+
+
+def partitioned(vectors: DataFrame, is_query: Column, k: int, recall: float, id_col: str, vector_col: str) -> tuple[DataFrame, Router | None, int, float]:
+    """(rows, router, dimension, depth): usable rows as (id, v, asks, part, row), each in its part."""
+    rows = vectors.where(usable(vector_col) & F.exists(vector_col, lambda v: v != 0) & F.col(id_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda v: v.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    dim, n = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
+    sample = sampled_rows(rows.select("id", "v"), "id", min(SAMPLE_MOST, max(SAMPLE_LEAST, SAMPLE_PER_ROOT * isqrt(n))), "ann")
+    least = SAMPLE_OF_PART
+    router = fit_in_task(sample, lambda table: fit_router(_unit(list_matrix(table["v"].combine_chunks(), dim)), isqrt(n), least))
+    shared = vectors.sparkSession.sparkContext.broadcast(router)
+
+    @F.pandas_udf("int")
+    def home(v: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.home(_unit(matrix(v.to_list(), dim))) if shared.value else np.zeros(len(v)), dtype="int32")
+
+    routed = materialize(rows.withColumn("part", home("v")).withColumn("row", F.monotonically_increasing_id()), "routed")
+    return routed, router, dim, search_depth(routed, router, dim, k, recall) if router else 1.0
