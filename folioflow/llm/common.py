@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """stem, with underscores in front until no column of df has that name."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
+def with_row_keys(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df and the names of added columns that tell its rows apart, the same whenever df is read.
+
+    Rows of a plain file scan have their file's hash and their place in it,
+    without a copy; any other df is written first, with a number for each row.
+    """
+    keys = [free_name(df, "row_file"), free_name(df, "row_place")]
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("SubqueryAlias", "Filter", "Project"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns:
+        try:
+            return df.select("*", F.xxhash64("_metadata.file_path").alias(keys[0]), F.col("_metadata.row_index").alias(keys[1])), keys
+        except AnalysisException:
+            pass
+    return materialize(df.select("*", F.lit(0).cast("long").alias(keys[0]), F.monotonically_increasing_id().alias(keys[1])), "rows"), keys
+
+
 def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     """What ``fit`` makes of a bounded sample, run in one task, so that the driver holds the model alone; None for an empty sample."""
 

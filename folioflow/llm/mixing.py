@@ -10,10 +10,12 @@ holds a whole source.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_row_keys
 
 #: Words of a block at most; fewer where the sources would get less than SLOTS slots each on average.
 BLOCK_WORDS = 2048
@@ -33,9 +35,10 @@ def _golden(k):
     return x - F.floor(x)
 
 
-def document_sizes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): words of each document, 0 for a null text."""
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def document_sizes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keys: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size, keys...): words of each document, 0 for a null text; columns that tell rows apart become key0, key1 and so on."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    return documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)])
 
 
 def source_plan(sizes: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -75,7 +78,8 @@ def block_pieces(sizes: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFram
     d = d.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("hash", 1, 3))
     sums = d.groupBy("sid", "bucket").agg(F.sum("size").alias("size"))
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("size").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    order = Window.partitionBy("sid", "bucket").orderBy("hash", "doc_id", "size")
+    keys = [c for c in sizes.columns if c.startswith("key")]
+    order = Window.partitionBy("sid", "bucket").orderBy("hash", "doc_id", "size", *keys)
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumn("nth", F.row_number().over(order)).withColumn("before", before).join(sums, ["sid", "bucket"])
     d = d.withColumn("start", F.col("base") + F.col("before"))
@@ -88,8 +92,8 @@ def block_pieces(sizes: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFram
     begin = F.col("block") * length + F.least(F.col("block"), longer)
     end = (F.col("block") + 1) * length + F.least(F.col("block") + 1, longer)
     first, last = F.greatest(F.col("start"), begin), F.least(F.col("start") + F.col("size"), end)
-    pieces = p.select("sid", "bucket", "nth", "doc_id", "block", (first - F.col("start")).alias("from_word"), (last - first).alias("words"))
-    return d.select("sid", "bucket", "nth", "doc_id", "source", "size", "source_size", "target"), pieces
+    pieces = p.select("sid", "bucket", "nth", "doc_id", *keys, "block", (first - F.col("start")).alias("from_word"), (last - first).alias("words"))
+    return d.select("sid", "bucket", "nth", "doc_id", *keys, "source", "size", "source_size", "target"), pieces
 
 
 def schedule(plan: DataFrame) -> DataFrame:
@@ -106,18 +110,19 @@ def schedule(plan: DataFrame) -> DataFrame:
     return served.select("slot", "sid", (F.col("rank") % F.col("blocks")).alias("block"), F.expr("rank div blocks").alias("pass"))
 
 
-def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Mix documents by source weights 1, 2, 3, repeating in order of the source's name, null last.
 
     Returns (documents, mixture). documents: one row per input row with its key
     (sid, bucket, nth), doc_id, source, size, source_size and target. mixture: a row
     per slot and document part, (slot, pass, sid, bucket, nth, doc_id, block,
-    from_word, words), to be read by slot. Empty texts have size 0 and no part
+    from_word, words), to be read by slot. Columns that tell rows apart may be
+    given as keys; both tables then have them as key0, key1 and so on. Empty texts have size 0 and no part
     in the mixture, a source of none has target 0; repeated rows each count;
     ties in the shuffled order are between equal rows; an empty table gives
     empty results. Other columns are not read.
     """
-    sizes = materialize(document_sizes(documents, id_col, text_col, source_col), "sizes")
+    sizes = materialize(document_sizes(documents, id_col, text_col, source_col, keys), "sizes")
     plan = materialize(source_plan(sizes, block_words, max_repeats), "sources")
     rows, pieces = block_pieces(sizes, plan)
     return rows, schedule(plan).join(pieces, ["sid", "block"])
@@ -131,24 +136,27 @@ def taken_words(documents: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """The mixture as rows of documents: each row as often as it is taken, the last time cut to the words taken.
+def mixed_documents(documents: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The mixture as rows of documents, with their columns: each row as often as it is taken, the last time cut to the words taken.
 
     A document whose blocks are all taken k times comes k times, whole. One of
     which some blocks are taken once more comes once more with those words,
     joined by blanks. n_chars, where there is such a column, follows the text.
+    Null and empty texts have no words and do not come. Rows are told apart by
+    their place in their files, so repeated rows each count and the shares of
+    rows alike in id and size do not change between runs; a table that is not
+    read from files is written once to number its rows. Other columns, of
+    whatever names, are carried along; an empty table gives no rows. Texts move
+    once, to meet what is taken of them.
     """
-    id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    rows, mixture = mix(documents, **options)
-    parts = mixture.groupBy("sid", "bucket", "nth", "pass").agg(F.sum("words").alias("_words"), F.min("from_word").cast("int").alias("_from"))
-    same = Window.partitionBy("doc_id", "size", "source").orderBy("bucket", "nth")
-    rows = rows.withColumn("_twin", F.row_number().over(same)).select("sid", "bucket", "nth", F.col("doc_id").alias("_id"), F.col("size").alias("_sized"), F.col("source").alias("_of"), "_twin")
-    taken = rows.join(parts, ["sid", "bucket", "nth"]).select("_id", "_sized", "_of", F.col("_twin").alias("_nth"), "_words", "_from")
-    sized = documents.withColumn("_size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
-    sized = sized.withColumn("_twin", F.row_number().over(Window.partitionBy(id_col, "_size", source_col).orderBy(F.lit(1))))
-    joined = sized.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_of")) & (F.col("_size") == F.col("_sized")) & (F.col("_twin") == F.col("_nth")))
-    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), F.lit(1)), F.col("_from") + 1, F.col("_words").cast("int")))
-    out = joined.withColumn(text_col, F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(cut))
+    keyed, keys = with_row_keys(documents)
+    _, mixture = mix(keyed, text_col=text_col, keys=keys, **options)
+    taken = mixture.groupBy("key0", "key1", "pass").agg(F.sum("words").alias("words"), F.min("from_word").cast("int").alias("from_word"))
+    text, size = F.col(f"d.{text_col}"), F.regexp_count(F.col(f"d.{text_col}"), F.lit(WORD))
+    joined = keyed.alias("d").join(taken.alias("t"), (F.col(f"d.{keys[0]}") == F.col("t.key0")) & (F.col(f"d.{keys[1]}") == F.col("t.key1")))
+    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.col("t.from_word") + 1, F.col("t.words").cast("int")))
+    shown = F.when(F.col("t.words") == size, text).otherwise(cut)
+    changed = {text_col: shown}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+        changed["n_chars"] = F.length(shown).cast(documents.schema["n_chars"].dataType)
+    return joined.select(*[changed.get(c, F.col(f"d.`{c}`")).alias(c) for c in documents.columns])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_slices, materialize, mix, text_buffer, uniform, word_hashes
+from .common import column_slices, free_name, materialize, mix, text_buffer, uniform, with_row_keys, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -225,6 +225,7 @@ def compare(tasks: DataFrame, bags: DataFrame, similarity: float, forest: bool)
 def components(links: DataFrame) -> DataFrame:
     """(node, class) of all linked nodes, class being the least node reached, by large-star and small-star rounds."""
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = _digest(edges)
     while True:
         # Large star: every larger neighbour of a node goes to the node's least neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -235,9 +236,15 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = materialize(small, "links")
-        if now.exceptAll(edges).isEmpty() and edges.exceptAll(now).isEmpty():
+        after = _digest(now)
+        if after == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("class")).distinct())
-        edges = now
+        edges, before = now, after
+
+
+def _digest(edges: DataFrame) -> tuple:
+    """Number of distinct edges and two sums over them, which differ for different edges."""
+    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
 
 
 def near_duplicate_classes(documents: DataFrame, similarity: float = SIMILARITY, n_words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,15 +262,16 @@ def near_duplicate_classes(documents: DataFrame, similarity: float = SIMILARITY,
     buckets = signed.select("node", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
     members = materialize(buckets.join(shared, "band").select("band", "node").distinct(), "members")
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
+    # Sums per band and per centre are written before they are joined, so that each join has its own exchange, of which Spark splits a hot band or centre.
+    sizes = materialize(members.groupBy("band").agg(F.count("*").alias("n")), "band-sizes")
     weights = members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("weight"))
-    centres = members.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top")).select("band", F.col("top.node").alias("centre"))
+    centres = materialize(members.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top")).select("band", F.col("top.node").alias("centre")), "centres")
     stars = materialize(members.join(centres, "band").where("node <> centre").select("centre", "node").distinct(), "stars")
     met = stars.select("node").unionByName(stars.select(F.col("centre").alias("node"))).distinct()
     first = signed.where("node is not null and doc_id is not null").join(met, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     bags = materialize(multisets(docs.join(first.select("doc_id").distinct(), "doc_id"), n_words).dropDuplicates(["node"]), "multisets")
 
-    blocks = stars.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = materialize(stars.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     dealt = stars.join(blocks, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("turn"), F.lit(False).alias("asks"), "node")
     asked = blocks.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("turn"), F.lit(True).alias("asks"), F.col("centre").alias("node"))
     links = materialize(compare(dealt.unionByName(asked), bags, similarity, False), "star-links")
@@ -273,7 +281,7 @@ def near_duplicate_classes(documents: DataFrame, similarity: float = SIMILARITY,
     inside = materialize(stars.join(classes, "node", "left").select("centre", "node", F.coalesce("class", "node").alias("class")), "inside")
     by_class = inside.groupBy("centre", "class").agg(F.count("*").alias("n"))
     most = by_class.groupBy("centre").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"), F.sum("n").alias("all")).where("classes > 1")
-    open_ = most.select("centre", F.col("top.class").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("turns"))
+    open_ = materialize(most.select("centre", F.col("top.class").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("turns")), "open")
     apart = inside.join(open_, "centre")
     dealt = apart.select("centre", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"), "node", "class")
     asked = apart.where(F.col("class") != F.col("most")).select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(1), "node"), F.col("turns")).cast("int").alias("turn"), F.lit(True).alias("asks"), "node", "class")
@@ -288,8 +296,17 @@ def near_duplicate_classes(documents: DataFrame, similarity: float = SIMILARITY,
     return signed.join(nodes, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-def keep_one_of_each(documents: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of documents that stand for their class, those of its least id; rows without an id stay, repeated rows come once."""
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = documents.join(kept, id_col, "left_semi").dropDuplicates(documents.columns)
-    return named.unionByName(documents.where(F.col(id_col).isNull()))
+def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each near-duplicate class, that of the least id (null last), with all columns of documents.
+
+    Rows are told apart by their place in their files: of rows that repeat an
+    id, or have none, one stays if they are near copies, and all that are not.
+    Each null or empty text is a class of its own. Columns may be of any type
+    and name; an empty table gives no rows.
+    """
+    keyed, keys = with_row_keys(documents)
+    key = free_name(keyed, "row_key")
+    keyed = keyed.withColumn(key, F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(keys[0]).alias("file"), F.col(keys[1]).alias("place")))
+    classes = near_duplicate_classes(keyed, id_col=key, text_col=text_col, **options)
+    kept = classes.where("doc_id = class_id").select(F.col("doc_id.file").alias(keys[0]), F.col("doc_id.place").alias(keys[1]))
+    return keyed.join(kept, keys, "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -76,6 +76,23 @@ def test_mixed_documents_hold_the_taken_words(spark):
     assert {k: v for k, v in want.items() if v} == got
 
 
+def test_mixed_documents_of_awkward_tables(spark, tmp_path):
+    """Repeated ids and rows, ids that are null, and columns named like the operator's own; from files and not; the same on every run."""
+    rows = [(i % 7 if i % 3 else None, f"a{i} b{i} c{i} d{i}"[: 3 * (i % 5)] or None, f"s{i % 2}", i, "x", i, {"k": i}) for i in range(60)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key0 int, row_file string, words int, m map<string,int>")
+    df.repartition(3).write.parquet(str(tmp_path / "rows"))
+    table = spark.read.parquet(str(tmp_path / "rows"))
+    plain = lambda t: sorted((str(r.doc_id), r.text, r.source, r.key0, r.row_file, r.words, str(r.m)) for r in t.collect())
+    first = plain(mixing.mixed_documents(table))
+    assert first == plain(mixing.mixed_documents(table)) and mixing.mixed_documents(table).columns == df.columns
+    of = {r[3]: r[1] for r in rows}
+    assert all(r[1] and set(r[1].split()) <= set(of[r[3]].split()) and r[3] == r[5] for r in first)
+    taken = sum(r.taken for r in mixing.taken_words(table).collect())
+    assert sum(len(r[1].split()) for r in first) == taken == sum(len(r[1].split()) for r in plain(mixing.mixed_documents(df)))
+    assert mixing.mixed_documents(table.where("false")).count() == 0
+
+
 def test_empty(spark):
     assert mixing.taken_words(frame(spark, [(1, "a", "b")]).where("false")).count() == 0
     got = mixing.taken_words(frame(spark, [(1, None, None), (2, "", "b")])).collect()

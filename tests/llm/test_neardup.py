@@ -57,8 +57,22 @@ def test_classes(spark, monkeypatch):
     found = neardup.near_duplicate_classes(df).collect()
     assert len(found) == len(rows) + 1
     assert {r.doc_id: r.class_id for r in found if r.doc_id is not None} == classes(rows)
-    kept = neardup.keep_one_of_each(df, neardup.near_duplicate_classes(df)).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(classes(rows).values())) and sum(r.doc_id is None for r in kept) == 1
+    kept = neardup.one_of_each(df).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(classes(rows).values()))
+
+
+def test_one_row_of_each_class(spark, tmp_path):
+    """Rows that repeat an id or have none, columns of awkward names and types, from files and not."""
+    long_ = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b c", {"k": 1}, "p", 1), (1, "a b c", {"k": 2}, "q", 2), (1, "other text", {}, "r", 3), (2, "A  b c", {}, "s", 4), (None, "a b c", {}, "t", 5), (None, None, {}, "u", 6), (None, None, {}, "v", 7), (3, "", {}, "w", 8), (None, long_, {}, "x", 9), (None, long_ + " z", {}, "y", 10), (9, long_, {}, "z", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, row_key string, row_place int")
+    df.repartition(3).write.parquet(str(tmp_path / "rows"))
+    for table in (df, spark.read.parquet(str(tmp_path / "rows"))):
+        got = neardup.one_of_each(table)
+        assert got.columns == df.columns
+        kept = {r.row_place for r in got.collect()}
+        assert kept - {1, 2} == {3, 6, 7, 8, 11} and len(kept & {1, 2}) == 1
+        assert neardup.one_of_each(table.where("false")).count() == 0
 
 
 def test_signatures_are_unbiased():
