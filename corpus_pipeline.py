@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import materialize
 from folioflow.llm.language import UNKNOWN, identify_language, learn_languages
 from folioflow.llm.mixing import mixed_documents
-from folioflow.llm.neardup import keep_one_of_each, near_duplicate_classes
+from folioflow.llm.neardup import one_of_each
 from folioflow.llm.packing import best_two_fit_pack
 from folioflow.llm.queries import TOKENIZER
 from folioflow.llm.toxicity import THRESHOLD, learn_toxicity, score_toxicity
@@ -33,8 +33,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that of the least doc_id."""
-    return keep_one_of_each(docs, near_duplicate_classes(docs)).select(*docs.columns)
+    """One document of each near-duplicate class, that of the least doc_id; rows without an id are classed alike."""
+    return one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
