@@ -14,6 +14,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,12 +47,9 @@ TEMPLATES: dict[str, list[str]] = {
     "all-rights-reserved": ["All rights reserved."],
 }
 
-#: Templates of a block that are confirmed, best first.
-CONFIRMED = 3
-#: Share of a template's words that a block must hold in order, and words that may differ all the same.
+#: Share of a template's words that a notice must hold in order, and of words between them that the template lacks, at most.
 SHARED = 0.8
-#: Templates' words of so many letters or more are tell-tale; besides, all words of templates that have none.
-TELLTALE = 7
+BETWEEN = 0.4
 
 _WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
 _MARKS = re.compile(r"[^\w\s]*")
@@ -61,28 +59,32 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _telltale(templates: Mapping[str, list[str]]) -> set[str]:
+def _telltale(words: Sequence[str], shared: float) -> set[str]:
+    """The longest words of a template, so many that any text with the share of its words in it has one of them."""
+    may_lack = len(words) - ceil(shared * len(words) - 1e-9)
     out: set[str] = set()
-    for texts in templates.values():
-        for text in texts:
-            words = _words(text)
-            out |= {w for w in words if len(w) >= TELLTALE} or set(words)
+    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        if sum(w in out for w in words) > may_lack:
+            break
+        out.add(word)
     return out
 
 
 class LicenceScanner:
     """Templates with their dictionaries; scan() gives a text's confirmed licence blocks."""
 
-    def __init__(self, templates: Mapping[str, list[str]], confirmed: int = CONFIRMED, shared: float = SHARED):
+    def __init__(self, templates: Mapping[str, list[str]], shared: float = SHARED, between: float = BETWEEN):
         import ahocorasick
         import zstandard
 
-        self.confirmed, self.shared = confirmed, shared
+        self.shared, self.between = shared, between
         self.templates = [(name, text, _words(text)) for name, texts in sorted(templates.items()) for text in texts]
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, _, words in self.templates]
         self.tell = ahocorasick.Automaton()
-        for word in _telltale(templates):
+        #: Each template's tell-tale words; a block without one can't hold it.
+        self.told_by = [_telltale(words, shared) for _, _, words in self.templates]
+        for word in set().union(*self.told_by):
             # (words before it, words) of the templates that have it.
             self.tell.add_word(word, sorted({(at, len(words)) for _, _, words in self.templates for at, w in enumerate(words) if w == word}))
         self.tell.make_automaton()
@@ -99,15 +101,19 @@ class LicenceScanner:
     def judge(self, block: str) -> dict | None:
         """The licence of a block of words with its saved bytes and the words that differ; None if no template is confirmed."""
         words = block.split(" ")
+        here = set(words)
         data = block.encode()
         alone = len(self.plain.compress(data))
-        saved = [alone - len(c.compress(data)) for c in self.given]
-        ranked = sorted((i for i in range(len(saved)) if saved[i] > 0), key=lambda i: (-saved[i] / max(1, len(self.templates[i][2])) ** 0.5, i))[: self.confirmed]
+        saved = {i: alone - len(c.compress(data)) for i, c in enumerate(self.given) if not here.isdisjoint(self.told_by[i])}
+        ranked = sorted((i for i in saved if saved[i] > 0), key=lambda i: (-saved[i] / max(1, len(self.templates[i][2])) ** 0.5, i))
         best = None
         for i in ranked:
             name, _, wording = self.templates[i]
+            need = self.shared * len(wording) - 1e-9
+            if sum(w in here for w in wording) < need:
+                continue
             matches = [m for m in SequenceMatcher(None, wording, words, autojunk=False).get_matching_blocks() if m.size]
-            held, need = sum(m.size for m in matches), self.shared * len(wording)
+            held = sum(m.size for m in matches)
             if held < need:
                 continue
             # Words far off that match by chance are no part of the notice.
@@ -123,7 +129,9 @@ class LicenceScanner:
             for m in matches:
                 extra += words[at : m.b]
                 at = m.b + m.size
-            found = {"licence": name, "template": i, "saved": saved[i], "missing": missing, "extra": extra, "span": (matches[0].b, at), "rank": (len(missing) + len(extra) - held, i)}
+            if len(extra) > self.between * len(wording) + 1e-9:
+                continue
+            found = {"licence": name, "template": i, "saved": saved[i], "missing": missing, "extra": extra, "span": (matches[0].b, at), "rank": (len(missing) + len(extra) - held, -held, i)}
             if best is None or found["rank"] < best["rank"]:
                 best = found
         return best
@@ -199,24 +207,26 @@ class LicenceScanner:
         return self.kept[block]
 
 
-def scan_licences(documents: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, confirmed: int = CONFIRMED, shared: float = SHARED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licences(documents: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, shared: float = SHARED, between: float = BETWEEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, licence, saved_bytes, missing, extra, exact): one row per confirmed licence notice.
 
     start and end are character positions of the notice; missing are the
     template's words that it lacks, extra those between its matches that the
-    template lacks; notices of one line or paragraph have a row each. Whole
+    template lacks. A notice holds the share ``shared`` of its template's words in
+    order, and of other words between them no more than ``between`` times the
+    template's; notices of one line or paragraph have a row each. Whole
     texts are scanned, whatever the length of their lines;
     a notice lies in one paragraph, its words within more than twice the longest
     template's. Null and empty texts have no row; repeated rows repeat their
     notices; of templates that fit at one place the one with the most words in
-    common less those that differ, then the first counts. An empty table gives
+    common less those that differ, then the one that holds most words, then the first counts. An empty table gives
     no rows. Other columns are not read.
     """
-    key = hash((tuple((k, tuple(v)) for k, v in sorted(templates.items())), confirmed, shared))
+    key = hash((tuple((k, tuple(v)) for k, v in sorted(templates.items())), shared, between))
     templates = dict(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = worker_cache(f"licences-{key}", lambda: LicenceScanner(templates, confirmed, shared))
+        scanner = worker_cache(f"licences-{key}", lambda: LicenceScanner(templates, shared, between))
         for batch in batches:
             rows = [(i, start, end, f) for i, text in enumerate(batch.column(1)) if (t := text.as_py()) for start, end, f in scanner.scan(t)]
             columns = [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]

@@ -215,3 +215,63 @@ def test_licences_side_by_side():
         assert [x[2:] for x in found(f"{text} {text}\n{text}")] == [([], [])] * 3
     every = [(text, name, [], []) for name, texts in licences.TEMPLATES.items() for text in texts]
     assert found(" ".join(x[0] for x in every)) == every
+
+
+def brute_notices(scanner, words):
+    """judge() on every window of words, the best of them at separate spans, and again on the words between."""
+    found, longest = [], 2 * max(len(t[2]) for t in scanner.templates)
+    for i in range(len(words)):
+        for j in range(i + 1, min(len(words), i + longest) + 1):
+            if one := scanner.judge(" ".join(words[i:j])):
+                found.append((one["rank"], i + one["span"][0], i + one["span"][1], one["licence"]))
+    out = []
+    for rank, a, b, licence in sorted(found):
+        if all(b <= x or y <= a for x, y, _ in out):
+            out.append((a, b, licence))
+    return sorted(out)
+
+
+def test_licences_against_every_window():
+    some = {k: [t for t in v if len(t.split()) < 14] for k, v in licences.TEMPLATES.items() if k in ("CC-BY-4.0", "MIT", "all-rights-reserved", "GPL-3.0", "CC-BY-SA-4.0")}
+    scanner, rng = licences.LicenceScanner(some), np.random.default_rng(5)
+    fill = "the of version and license work under by rights reserved green tree 4.0 general all a licensed released".split()
+    for _ in range(25):
+        words = rng.choice(fill, 12).tolist()
+        for _ in range(int(rng.integers(1, 4))):
+            notice = licences._words(rng.choice([t for v in some.values() for t in v]))
+            if rng.random() < 0.5:
+                notice[int(rng.integers(len(notice)))] = rng.choice(fill)
+            if rng.random() < 0.5:
+                notice.insert(int(rng.integers(len(notice))), rng.choice(fill))
+            at = int(rng.integers(len(words)))
+            words[at:at] = notice
+        got = {(*f["span"], f["licence"]) for f in scanner.notices(words)}
+        want = brute_notices(scanner, words)
+        # Each notice of the brute-force version is found at its place, and nothing elsewhere.
+        assert all(any(a < y and x < b and licence == other for x, y, other in got) for a, b, licence in want), (words, want, got)
+        for f in scanner.notices(words):
+            template = scanner.templates[f["template"]][2]
+            assert sorted(template) == sorted([*f["missing"], *_without(words[slice(*f["span"])], f["extra"])])
+            assert len(f["missing"]) <= 0.2 * len(template) and len(f["extra"]) <= 0.4 * len(template)
+
+
+def _without(words, some):
+    left = list(words)
+    for w in some:
+        left.remove(w)
+    return left
+
+
+def test_licences_are_not_found_in_scattered_words():
+    scanner = licences.LicenceScanner(licences.TEMPLATES)
+    for text in ("all of the rights in this region are reserved for the tribe", "All " + "tree " * 17 + "rights here are never reserved", "the general public of this work is licensed in version 2"):
+        assert scanner.scan(text) == []
+    [(start, end, found)] = scanner.scan("Text shared under CC BY 4.0 by the team")
+    assert found["licence"] == "CC-BY-4.0" and found["missing"] == ["licensed"] and "Text shared under CC BY 4.0 by the team"[start:end] == "under CC BY 4.0"
+
+
+def test_licences_of_repeated_rows(spark):
+    text = "Licensed under CC BY 4.0.\nAll rights reserved."
+    df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
+    got = [(r.doc_id, r.licence) for r in licences.scan_licences(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(i, x) for i in (1, 1, None) for x in ("CC-BY-4.0", "all-rights-reserved")]))
