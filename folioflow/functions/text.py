@@ -223,6 +223,19 @@ ERROR_CLASSES = [
 SERVICE_DOWN = ["não está em execução", "connection refused", "failed to connect", "cannot connect"]
 
 
+# Message and advice by class of error.
+ERROR_ADVICE = {
+    "PDF com senha": ("O arquivo PDF está protegido por senha e não pode ser lido.", "Remova a proteção por senha do PDF antes de tentar traduzi-lo."),
+    "Arquivo não é PDF": ("O arquivo selecionado não é um documento PDF válido.", "Selecione um arquivo com extensão .pdf (ou use 'Converter arquivo…' no menu para outros formatos)."),
+    "PDF corrompido": ("O arquivo PDF está corrompido, incompleto ou com formato inválido.", "Verifique a integridade do arquivo ou gere/baixe o documento novamente."),
+    "Disco cheio": ("Espaço insuficiente em disco para concluir a operação.", "Libere espaço na partição do sistema e tente novamente."),
+    "Sem permissão na pasta de destino": ("Permissão negada para acessar ou gravar arquivos na pasta de destino.", "Escolha outra pasta com permissão de escrita ou ajuste as permissões de acesso do diretório."),
+    "Arquivo não encontrado": ("O arquivo selecionado não foi encontrado.", "Verifique se o arquivo ainda existe no caminho indicado e tente novamente."),
+    "Serviço de tradução indisponível": ("O serviço de tradução local (Ollama) não está em execução.", "Execute `./scripts/run.sh` no terminal para iniciar o serviço."),
+    "Erro na operação": ("Ocorreu um erro durante o processamento: ", "Consulte os logs em `logs/app.log` para obter mais detalhes sobre o erro."),
+}
+
+
 def error_title(message: Column, service: str = "ollama") -> Column:
     """The class of an error message: the first whose marks it has."""
     low = F.lower(message)
@@ -236,6 +249,13 @@ def error_title(message: Column, service: str = "ollama") -> Column:
     return out.when(low.contains(service) & has(SERVICE_DOWN), "Serviço de tradução indisponível").otherwise("Erro na operação")
 
 
+def error_report(message: Column, service: str = "ollama") -> Column:
+    """struct<title, message, action> for the user; an error of no known class is quoted."""
+    title = error_title(message, service)
+    told, advice = (F.create_map(*[F.lit(x) for k, v in ERROR_ADVICE.items() for x in (k, v[i])])[title] for i in range(2))
+    return F.struct(title.alias("title"), F.when(title == "Erro na operação", F.concat(told, message)).otherwise(told).alias("message"), advice.alias("action"))
+
+
 def strip_code_fence(text: Column) -> Column:
     """The inside of a fence around the whole text."""
     t = strip(text)

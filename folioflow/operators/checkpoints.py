@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 DONE = ("translated", "skipped")
 
@@ -23,14 +24,15 @@ def text_key(text: Column) -> Column:
 
 
 def latest(states: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_idx"), order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
-    """One row per key, the latest."""
-    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    """One row per key, the latest; of several of one time the greatest by the other columns in their order."""
+    rest = [c for c in states.columns if c not in (*keys, *order) and not isinstance(states.schema[c].dataType, MapType)]
+    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in (*order, *rest)])
     return states.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
 
 
-def upsert(states: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_idx")) -> DataFrame:
+def upsert(states: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_idx"), order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
     """States with changes put in place of those they are newer than."""
-    return latest(states.unionByName(changes, allowMissingColumns=True), keys)
+    return latest(states.unionByName(changes, allowMissingColumns=True), keys, order)
 
 
 def insert_absent(manifest: DataFrame, rows: DataFrame, key: str = "sha256") -> DataFrame:
@@ -48,16 +50,30 @@ def clear(rows: DataFrame, documents: DataFrame, key: str = "sha256") -> DataFra
     return rows.join(documents.select(key).distinct(), key, "left_anti")
 
 
+def with_states(chunks: DataFrame, states: DataFrame) -> DataFrame:
+    """Chunks with their latest state's _status and _text, null where there is none for the chunk's text.
+
+    A state that bears a text_key holds for a chunk of that text alone; one
+    without is taken by its place. Chunks need original_text for the comparison.
+    """
+    columns = ["doc_id", "chunk_idx", F.col("status").alias("_status"), F.col("text").alias("_text")]
+    if "text_key" not in states.columns or "original_text" not in chunks.columns:
+        return chunks.join(latest(states).select(*columns), ["doc_id", "chunk_idx"], "left")
+    joined = chunks.join(latest(states).select(*columns, F.col("text_key").alias("_of")), ["doc_id", "chunk_idx"], "left")
+    fits = F.col("_of").isNull() | (F.col("_of") == text_key(F.col("original_text")))
+    return joined.withColumns({"_status": F.when(fits, F.col("_status")), "_text": F.when(fits, F.col("_text"))}).drop("_of")
+
+
 def resume(chunks: DataFrame, states: DataFrame) -> DataFrame:
     """Chunks with the text and status of those done before; the others as they were."""
-    known = latest(states).select("doc_id", "chunk_idx", F.col("status").alias("_status"), F.col("text").alias("_text"))
-    joined = chunks.join(known.where(F.col("_status").isin(*DONE)), ["doc_id", "chunk_idx"], "left")
-    return joined.withColumns({"translated_text": F.coalesce("_text", "translated_text"), "status": F.coalesce("_status", "status")}).drop("_status", "_text")
+    done = F.col("_status").isin(*DONE)
+    joined = with_states(chunks, states).withColumns({"translated_text": F.when(done, F.coalesce("_text", "translated_text")).otherwise(F.col("translated_text")), "status": F.when(done, F.col("_status")).otherwise(F.col("status"))})
+    return joined.drop("_status", "_text")
 
 
 def pending(chunks: DataFrame, states: DataFrame) -> DataFrame:
     """Chunks that no state says are done."""
-    return chunks.join(latest(states).where(F.col("status").isin(*DONE)), ["doc_id", "chunk_idx"], "left_anti")
+    return with_states(chunks, states).where(~F.coalesce(F.col("_status").isin(*DONE), F.lit(False))).drop("_status", "_text")
 
 
 def conflict_action(saved_model: Column, saved_prompt: Column, model: Column, prompt: Column, on_conflict: Column) -> Column:

@@ -73,8 +73,10 @@ def clean(blocks: DataFrame, passes: int = 1, window_pages: int | None = None, f
 
     With window_pages each window of pages is cleaned by itself first and the
     whole document after it, as a reader in windows does (two passes). Output
-    order is that of pages' first appearance, then position.
+    order is that of pages' first appearance, then position. Texts are shuffled
+    once, by document; all windows keep to that.
     """
+    blocks = blocks.repartition("doc_id")
     if window_pages:
         keyed = blocks.withColumns({"_doc": F.col("doc_id"), "doc_id": F.struct("doc_id", F.floor((F.col("page") - 1) / window_pages).alias("window"))})
         blocks = dehyphenated(drop_running_lines(keyed)).withColumn("doc_id", F.col("_doc")).drop("_doc")

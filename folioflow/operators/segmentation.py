@@ -15,26 +15,37 @@ from ..functions import text as T
 MAX_TOKENS = 800
 
 
+#: Items that one step of the outer fold takes; numbers are appended to short arrays, so a document of a million blocks is no square of work.
+SEGMENT = 1000
+
+
 def _fold(items: Column, max_tokens: int) -> Column:
-    """Chunk numbers of items (pos, tokens, barrier), in order.
+    """Chunk numbers of items (tokens, barrier), in order.
 
     State: the open chunk's blocks and tokens, chunks so far, and the numbers
     given. The count of open blocks tells an open chunk from none, as a block
     may have no tokens.
     """
-    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("run"), F.lit(-1).alias("chunk"), F.array().cast("array<int>").alias("given"))
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).cast("long").alias("run"), F.lit(-1).alias("chunk"), none.alias("given"))
 
     def step(s: Column, x: Column) -> Column:
         new = x["barrier"] | (s["open"] == 0) | (s["run"] + x["tokens"] > max_tokens)
         chunk = F.when(new, s["chunk"] + 1).otherwise(s["chunk"])
         return F.struct(
             F.when(x["barrier"], 0).when(new, 1).otherwise(s["open"] + 1).alias("open"),
-            F.when(x["barrier"], 0).when(new, x["tokens"]).otherwise(s["run"] + x["tokens"]).alias("run"),
+            F.when(x["barrier"], 0).when(new, x["tokens"]).otherwise(s["run"] + x["tokens"]).cast("long").alias("run"),
             chunk.alias("chunk"),
             F.concat(s["given"], F.array(chunk)).alias("given"),
         )
 
-    return F.aggregate(items, start, step, lambda s: s["given"])
+    def segment(s: Column, first: Column) -> Column:
+        fresh = F.struct(s["open"].alias("open"), s["run"].alias("run"), s["chunk"].alias("chunk"), none.alias("given"))
+        one = F.aggregate(F.slice(items, first, SEGMENT), fresh, step)
+        # The segment's result is an array of one, so that it is folded once and read four times.
+        return F.transform(F.array(one), lambda r: F.struct(r["open"].alias("open"), r["run"].alias("run"), r["chunk"].alias("chunk"), F.concat(s["given"], r["given"]).alias("given")))[0]
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(items)), F.lit(SEGMENT)), start, segment, lambda s: s["given"])
 
 
 def assign_chunks(blocks: DataFrame, max_tokens: int = MAX_TOKENS, barriers: bool = True) -> DataFrame:
@@ -42,13 +53,17 @@ def assign_chunks(blocks: DataFrame, max_tokens: int = MAX_TOKENS, barriers: boo
 
     Packed greedily in order: a block opens a chunk if the open one would
     exceed max_tokens; no block is split. With barriers a block that is not
-    translatable closes the open chunk and is one by itself.
+    translatable closes the open chunk and is one by itself. The blocks are
+    read and shuffled once: a document's rows are gathered, numbered and
+    spread again.
     """
-    barrier = ~F.col("translatable") if barriers else F.lit(False)
-    items = F.array_sort(F.collect_list(F.struct("pos", "tokens", barrier.alias("barrier"))))
-    packed = blocks.groupBy("doc_id").agg(items.alias("items")).withColumn("chunk", _fold(F.col("items"), max_tokens))
-    packed = packed.select("doc_id", F.explode(F.arrays_zip(F.transform("items", lambda x: x["pos"]).alias("pos"), F.col("chunk").alias("chunk_idx"))).alias("at"))
-    return blocks.join(packed.select("doc_id", "at.pos", "at.chunk_idx"), ["doc_id", "pos"])
+    barrier = (lambda x: ~x["translatable"]) if barriers else (lambda x: F.lit(False))
+    columns = ["pos", *[c for c in blocks.columns if c not in ("doc_id", "pos")]]
+    packed = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("items"))
+    packed = packed.withColumn("light", F.transform("items", lambda x: F.struct(x["tokens"].alias("tokens"), barrier(x).alias("barrier"))))
+    packed = packed.select("doc_id", "items", _fold(F.col("light"), max_tokens).alias("chunk_idx"))
+    rows = packed.select("doc_id", F.inline(F.arrays_zip("items", "chunk_idx")))
+    return rows.select("doc_id", *[f"items.{c}" for c in columns], "chunk_idx")
 
 
 def ordered_join(order: Column, text: Column, separator: str = "\n\n") -> Column:
@@ -62,14 +77,16 @@ def all_joined(order: Column, text: Column, separator: str = "\n\n") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), separator)
 
 
-def semantic_chunks(blocks: DataFrame, max_tokens: int = MAX_TOKENS, first: int = 0) -> DataFrame:
+def semantic_chunks(blocks: DataFrame, max_tokens: int = MAX_TOKENS, first: int = 0, keep: bool = False) -> DataFrame:
     """(doc_id, chunk_idx, id, original_text, translated_text, page_start, page_end, n_blocks, token_count, status).
 
     Chunks of blocks that stay as they are have status skipped and their own
-    text as translation; the others are pending.
+    text as translation; the others are pending. With keep there are also
+    kept_text, the blocks' output form for chunks that are not translated, and
+    all_kept.
     """
     marked = blocks.withColumn("markdown", T.semantic_markdown(F.col("type"), F.col("content"), F.col("block_id"), F.col("heading_level"), F.col("language"), F.col("alt")))
-    return _chunks(assign_chunks(marked.withColumn("tokens", T.estimate_tokens(F.col("markdown"))), max_tokens), first)
+    return _chunks(assign_chunks(marked.withColumn("tokens", T.estimate_tokens(F.col("markdown"))), max_tokens), first, keep)
 
 
 def naive_chunks(blocks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -78,8 +95,10 @@ def naive_chunks(blocks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     return _chunks(assign_chunks(marked.withColumn("tokens", T.estimate_tokens(F.col("markdown"))), max_tokens, False), 0)
 
 
-def _chunks(assigned: DataFrame, first: int) -> DataFrame:
+def _chunks(assigned: DataFrame, first: int, keep: bool = False) -> DataFrame:
+    shown = T.assembly_markdown(*[F.col(c) for c in ("type", "content", "language", "alt", "html", "is_complex")]) if keep else None
     out = assigned.groupBy("doc_id", "chunk_idx").agg(
+        *([ordered_join(F.col("pos"), shown).alias("kept_text"), F.bool_and(~F.col("translatable")).alias("all_kept")] if keep else []),
         all_joined(F.col("pos"), F.col("markdown")).alias("original_text"),
         F.min("page").alias("page_start"),
         F.max("page").alias("page_end"),
@@ -98,6 +117,7 @@ def _chunks(assigned: DataFrame, first: int) -> DataFrame:
         "n_blocks",
         T.estimate_tokens(F.col("original_text")).alias("token_count"),
         F.when(F.col("_open"), "pending").otherwise("skipped").alias("status"),
+        *(["kept_text", "all_kept"] if keep else []),
     )
 
 

@@ -7,6 +7,7 @@ before, so a document is one sequence; documents run in parallel.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -133,7 +134,10 @@ class Translator:
 def translate(chunks: DataFrame, generator: Callable[[], Generator], glossary: G.Glossary, language: str = "pt-BR", retries: int = 3, temperature: float = 0.2) -> DataFrame:
     """Translate chunks (doc_id, chunk_idx, original_text, status) document by document; one generator per group of rows.
 
-    Persist the result before using it twice: a generator may answer otherwise the next time.
+    Where chunks have the columns done_before and translated_text, those done
+    before give no row: their texts are the context of the chunks after them, as
+    they would have been in a run without a break. text_key is the hash of the
+    original text. Persist the result before using it twice: a generator may answer otherwise the next time.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,9 +148,14 @@ def translate(chunks: DataFrame, generator: Callable[[], Generator], glossary: G
             for r in frame.itertuples():
                 if r.doc_id != document:
                     translator, document = Translator(client, glossary, language, retries, temperature), r.doc_id
-                rows.append((r.doc_id, r.chunk_idx, *translator.chunk(r.original_text, r.status)))
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_idx", "translated_text", "status", "error_message", "attempts"])
+                if r.done_before:
+                    if r.status == "translated" and r.translated_text:
+                        translator.before = (r.original_text, r.translated_text)
+                    continue
+                rows.append((r.doc_id, r.chunk_idx, *translator.chunk(r.original_text, r.status), hashlib.sha256(r.original_text.encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_idx", "translated_text", "status", "error_message", "attempts", "text_key"])
 
     kind = chunks.schema["doc_id"].dataType.simpleString()
-    ordered = chunks.select("doc_id", "chunk_idx", "original_text", "status").repartition("doc_id").sortWithinPartitions("doc_id", "chunk_idx")
-    return ordered.mapInPandas(run, f"doc_id {kind}, chunk_idx int, translated_text string, status string, error_message string, attempts int")
+    before = ["translated_text", "done_before"] if "done_before" in chunks.columns else [F.lit(None).cast("string").alias("translated_text"), F.lit(False).alias("done_before")]
+    ordered = chunks.select("doc_id", "chunk_idx", "original_text", "status", *before).repartition("doc_id").sortWithinPartitions("doc_id", "chunk_idx")
+    return ordered.mapInPandas(run, f"doc_id {kind}, chunk_idx int, translated_text string, status string, error_message string, attempts int, text_key string")

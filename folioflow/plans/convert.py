@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -40,7 +40,7 @@ def route(requests: DataFrame, source: Column, target: Column) -> DataFrame:
 
 def prepare_chunks(blocks: DataFrame, settings: Settings, window_pages: int | None = None) -> DataFrame:
     """Blocks cleaned and packed into chunks."""
-    return segmentation.semantic_chunks(cleaning.clean(blocks, window_pages=window_pages), settings.translation.chunk_max_tokens)
+    return segmentation.semantic_chunks(cleaning.clean(blocks, window_pages=window_pages), settings.translation.chunk_max_tokens, keep=True)
 
 
 def translate_documents(blocks: DataFrame, states: DataFrame, generator: Callable[[], Generator], glossary: Glossary, settings: Settings, persist: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -48,16 +48,16 @@ def translate_documents(blocks: DataFrame, states: DataFrame, generator: Callabl
 
     persist writes the new states and reads them back: a generator's answers
     must not be asked for twice. Documents whose chunks are all done are not
-    sent again.
+    sent again; of the others the done chunks go along as context.
     """
     chunks = prepare_chunks(blocks, settings)
-    todo = checkpoints.pending(chunks, states)
+    known = checkpoints.with_states(chunks, states).withColumn("done_before", F.coalesce(F.col("_status").isin(*checkpoints.DONE), F.lit(False)))
+    known = known.withColumns({"translated_text": F.when(F.col("done_before"), F.col("_text")), "status": F.when(F.col("done_before"), F.col("_status")).otherwise(F.col("status"))})
+    todo = known.withColumn("_left", F.max(~F.col("done_before")).over(Window.partitionBy("doc_id"))).where("_left")
     t = settings.translation
     done = translate(todo, generator, glossary, t.target_language, t.max_retries, t.temperature)
-    new = persist(done.select("doc_id", "chunk_idx", "status", F.col("translated_text").alias("text"), "error_message", F.current_timestamp().alias("updated_at")))
+    new = persist(done.select("doc_id", "chunk_idx", "status", F.col("translated_text").alias("text"), "error_message", F.current_timestamp().alias("updated_at"), "text_key"))
     states = checkpoints.upsert(states, new)
-    resumed = checkpoints.resume(chunks, states)
-    failed = checkpoints.latest(states).where("status = 'error'").select("doc_id", "chunk_idx", F.lit(True).alias("_failed"))
-    shown = resumed.join(failed, ["doc_id", "chunk_idx"], "left").withColumn("status", F.when(F.col("_failed"), "error").otherwise(F.col("status")))
-    text = assembly.chunk_markdown(F.col("status"), F.col("original_text"), F.col("translated_text"), F.col("original_text"), F.lit(False))
+    shown = checkpoints.with_states(chunks, states).withColumn("status", F.coalesce("_status", "status"))
+    text = assembly.chunk_markdown(F.col("status"), F.col("original_text"), F.col("_text"), F.col("kept_text"), F.col("all_kept"))
     return states, assembly.assemble(shown.withColumn("markdown", text))

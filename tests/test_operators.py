@@ -289,3 +289,85 @@ def test_page_number_lines_of_all_events(spark, tmp_path):
     numbers = {"%d", " %d ", "Page %d", "pág. %d", "- %d -", "[ %d ]", "%d / 10", "%d of 30"}
     assert all(r.is_page_number == (r.form in numbers) and r.is_exempt == r.form.startswith(("Chapter", "Section")) for r in got)
     assert all(r.running == re.sub(r"\d+", "#", r.form.replace("%d", "1").lower().strip()) for r in got)
+
+
+def test_a_document_of_many_lines_is_packed_in_one_go(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("pos"), (F.col("id") % 7).cast("int").alias("tokens"), (F.col("id") % 11 > 0).alias("translatable"))
+    got = [r.chunk_idx for r in segmentation.assign_chunks(rows, 20).orderBy("pos").collect()]
+    want, chunk, run, open_ = [], -1, 0, False
+    for i in range(n):
+        tokens, barrier = i % 7, i % 11 == 0
+        if barrier or not open_ or run + tokens > 20:
+            chunk, run = chunk + 1, 0
+        run, open_ = run + tokens, not barrier
+        want.append(chunk)
+    assert got == want
+
+
+def test_packing_reads_its_blocks_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a\nb")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    from folioflow.operators import blocks
+
+    chunks = segmentation.semantic_chunks(blocks.renumber(blocks.text_blocks(spark.read.parquet(str(tmp_path / "d")))))
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
+def test_states_hold_for_their_own_text(spark):
+    states = spark.createDataFrame([(1, 0, "translated", "A", 1, checkpoints_key("a")), (1, 1, "translated", "B", 1, checkpoints_key("b")), (1, 2, "translated", "C", 1, None)], "doc_id long, chunk_idx int, status string, text string, updated_at int, text_key string")
+    chunks = spark.createDataFrame([(1, 0, "a", "pending", None), (1, 1, "changed", "pending", None), (1, 2, "c", "pending", None)], "doc_id long, chunk_idx int, original_text string, status string, translated_text string")
+    assert [r.chunk_idx for r in checkpoints.pending(chunks, states).collect()] == [1]
+    assert {r.chunk_idx: r.translated_text for r in checkpoints.resume(chunks, states).collect()} == {0: "A", 1: None, 2: "C"}
+
+
+def checkpoints_key(text):
+    import hashlib
+
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_whole_flow_keeps_context_and_merged_tables(spark, tmp_path):
+    """A document that was interrupted goes on with the context of its done chunk; a table with merged cells is shown as HTML."""
+    from folioflow.queries import ContextGenerator
+
+    merged = "<table><tr><td colspan=2>x</td></tr></table>"
+    rows = block_table(spark, [(0, 1, "paragraph", "First text of it", "text"), (1, 1, "table", "| x |", "table"), (2, 1, "paragraph", "Second text of it", "text")])
+    rows = rows.withColumn("doc_id", F.lit(7).cast("long")).withColumn("html", F.when(F.col("type") == "table", merged))
+    now = "timestamp'2020-01-01'"
+    states = spark.sql(f"SELECT 7L AS doc_id, 0 AS chunk_idx, 'translated' AS status, 'Primeiro texto' AS text, CAST(NULL AS STRING) AS error_message, {now} AS updated_at, '{checkpoints_key('First text of it')}' AS text_key")
+
+    def persist(df):
+        df.write.mode("overwrite").parquet(f"{tmp_path}/s")
+        return spark.read.parquet(f"{tmp_path}/s")
+
+    new, documents = translate_documents(rows, states, ContextGenerator, G.Glossary(), Settings(), persist)
+    import hashlib
+
+    mark = hashlib.md5(b"First text of it").hexdigest()[:4]
+    assert documents.first().markdown == f"Primeiro texto\n\n{merged}\n\nSecond text of it {mark}\n"
+    assert sorted(r.chunk_idx for r in persist(new.where("chunk_idx > 0")).collect()) == [1, 2]
+
+
+def test_exports(spark, tmp_path):
+    from folioflow.sources import export
+
+    text = "# Título <1>\n\nText with & and <b>.\nSecond line\n\n- item\n\n```\ncode  # x\n\n  more\n```\n\n## Two\n\nend\n"
+    epub = export.EpubExporter().export(text)
+    assert export.read_epub(epub) == text and epub == export.EpubExporter().export(text)
+    assert export.validate_epub(epub, None) == (True, "no outside checker found; its step is passed over")
+    assert not export.validate_epub(epub[:200], None)[0] and not export.validate_epub(b"", None)[0]
+    assert export.read_epub(export.EpubExporter().export("")) == "Documento\n"
+    pdf = export.PdfExporter().export(text * 100)
+    assert pdf.startswith(b"%PDF-1.4") and pdf.count(b"/Type /Page ") > 3
+    start = int(pdf.rsplit(b"startxref\n", 1)[1].split()[0])
+    assert pdf[start:].startswith(b"xref") and all(pdf[int(o) :].startswith(f"{i + 1} 0 obj".encode()) for i, o in enumerate(x.split()[0] for x in pdf[start:].split(b"\n")[3 : 3 + pdf.count(b" 0 obj")]))
+    docs = spark.createDataFrame([("a", text), ("b/c", ""), (None, "x"), ("n", None)], "name string, markdown string")
+    images = spark.createDataFrame([("i.png", bytearray(b"\x89"))], "name string, content binary")
+    done = export.export_documents(docs, export.MarkdownExporter, str(tmp_path / "out"), images).collect()
+    assert sorted((r.name, r.bytes) for r in done) == [("a.md", len(text.encode())), ("assets/i.png", 1), ("b/c.md", 0)]
+    assert (tmp_path / "out/a.md").read_text() == text and sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["a.md", "c.md", "i.png"]
+    files = spark.createDataFrame([(1, bytearray(text.encode()), ["export_epub", "read_epub"]), (2, bytearray(b"x"), ["read_epub"]), (3, None, ["copy"]), (4, bytearray(b"y"), ["extract"]), (5, bytearray(b"z"), ["copy"])], "k int, content binary, steps array<string>")
+    got = {r.k: (r.content and bytes(r.content), r.error and r.error.split(":")[0]) for r in export.run_steps(files).collect()}
+    assert got == {1: (text.encode(), None), 2: (None, "BadZipFile"), 3: (None, None), 4: (None, "KeyError"), 5: (b"z", None)}
+    assert export.markdown_title("x\n\n## B\n\n# A\n") == "A" and export.markdown_title("## B") == "B" and export.markdown_title("") == "Documento"
