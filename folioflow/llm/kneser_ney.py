@@ -33,6 +33,8 @@ _K = _U(0x9E3779B97F4A7C15)
 BUCKET_WORDS = 2_000_000
 #: Words a worker gathers before it sends counts.
 BATCH_WORDS = 2_000_000
+#: Counts below this are kept in four bytes each.
+MANY = (1 << 32) - 1
 #: Characters scored together.
 SCORED_CHARS = 1 << 22
 
@@ -86,20 +88,24 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
 
+def _runs(buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of the runs of sorted buckets, those that occur alone."""
+    first = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]][: len(buckets)])
+    return list(zip(buckets[first].tolist(), first.tolist(), np.r_[first[1:], len(buckets)].tolist()))
+
+
 def _bigram_blocks(texts: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block) of bigram counts by context, gathered per worker batch."""
 
     def emit(context: list[np.ndarray], word: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         (c, w), n = _counted(np.concatenate(context), np.concatenate(word))
-        cut = np.searchsorted(_bucket(c, buckets), np.arange(buckets + 1))
-        blocks = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            heads, sizes = np.unique(c[a:b], return_counts=True)
-            blocks.append(_pack(heads, sizes.astype("<u4"), w[a:b], np.minimum(n[a:b], 255).astype("u1"), n[a:b][n[a:b] >= 255].astype("<i8")) if b > a else None)
-        keep = [i for i, x in enumerate(blocks) if x]
-        for at in range(0, len(keep), 16):
-            some = keep[at : at + 16]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i] for i in some], pa.binary())], names=["bucket", "block"])
+        runs = _runs(_bucket(c, buckets))
+        for at in range(0, len(runs), 16):
+            blocks = []
+            for _, a, b in runs[at : at + 16]:
+                heads, sizes = np.unique(c[a:b], return_counts=True)
+                blocks.append(_pack(heads, sizes.astype("<u4"), w[a:b], np.minimum(n[a:b], 255).astype("u1"), n[a:b][n[a:b] >= 255].astype("<i8")))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs[at : at + 16]], pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, word, size = [], [], 0
@@ -169,22 +175,21 @@ class ModelFiles:
         os.replace(temporary, path)
 
     def read(self, name: str, kind: str) -> np.ndarray:
+        """An array as it lies in its file; empty where no word or context fell into its bucket."""
         if name not in self.open:
             path = f"{self.local()}/{name}"
-            self.open[name] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+            self.open[name] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
         return self.open[name]
 
     def lookup(self, table: str, keys: np.ndarray, column: str, kind: str, missing: float) -> np.ndarray:
         """Values of sorted distinct keys; missing where the table lacks one."""
         out = np.full(len(keys), missing, kind)
-        cut = np.searchsorted(_bucket(keys, self.buckets), np.arange(self.buckets + 1))
-        for b, (first, last) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-            if last > first:
-                have = self.read(f"{table}-{b}", "<u8")
-                at = np.searchsorted(have, keys[first:last])
-                at[at == len(have)] = 0
-                known = np.flatnonzero(have[at] == keys[first:last]) if len(have) else np.zeros(0, np.int64)
-                out[first + known] = self.read(f"{column}-{b}", kind)[at[known]]
+        for b, first, last in _runs(_bucket(keys, self.buckets)):
+            have = self.read(f"{table}-{b}", "<u8")
+            at = np.searchsorted(have, keys[first:last])
+            at[at == len(have)] = 0
+            known = np.flatnonzero(have[at] == keys[first:last]) if len(have) else np.zeros(0, np.int64)
+            out[first + known] = self.read(f"{column}-{b}", kind)[at[known]]
         return out
 
 
@@ -193,7 +198,7 @@ class KneserNey:
 
     def __init__(self, files: ModelFiles, tokens: int, types: int, kinds: int, pair_discounts: tuple, word_discounts: tuple, taken: float):
         self.files, self.tokens, self.types, self.kinds = files, tokens, types, kinds
-        self.pair_discounts, self.word_discounts = pair_discounts, word_discounts
+        self.pair_discounts, self.word_discounts, self.many = pair_discounts, word_discounts, MANY
         # What the words' discounts leave over is spread over all types and one unknown word.
         self.unseen = taken / kinds / (types + 1) if kinds else 1.0
 
@@ -209,7 +214,7 @@ def train(texts: DataFrame, text_col: str = "text", bucket_words: int = BUCKET_W
     texts = texts.select(F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-size // (6 * bucket_words)))
-    files = ModelFiles(f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}", buckets)
+    files, most = ModelFiles(f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}", buckets), MANY
 
     def write_bigrams(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
@@ -225,9 +230,11 @@ def train(texts: DataFrame, text_col: str = "text", bucket_words: int = BUCKET_W
         pair = _pair(c, w)
         order = np.argsort(pair)
         files.write(f"pair-{bucket}", pair[order])
-        files.write(f"times-{bucket}", np.minimum(n[order], (1 << 32) - 1).astype("<u4"))
-        cut = np.searchsorted(_bucket(words, buckets), np.arange(buckets + 1))
-        rows = [(b, _pack(words[i:j], kinds[i:j].astype("<i8"), uses[i:j].astype("<i8")), [0] * 4) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i]
+        files.write(f"times-{bucket}", np.minimum(n[order], most).astype("<u4"))
+        # The few counts from MANY on stand beside it, by their place.
+        many = np.flatnonzero(n[order] >= most)
+        files.write(f"many-{bucket}", np.stack([many, n[order][many]], axis=1).astype("<i8"))
+        rows = [(b, _pack(words[i:j], kinds[i:j].astype("<i8"), uses[i:j].astype("<i8")), [0] * 4) for b, i, j in _runs(_bucket(words, buckets))]
         rows.append((-1, None, [int((n == k).sum()) for k in (1, 2, 3, 4)]))
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["bucket", "block", "met"])
 
@@ -253,21 +260,12 @@ def train(texts: DataFrame, text_col: str = "text", bucket_words: int = BUCKET_W
     return KneserNey(files, tokens, types, kinds, _discounts(*[x or 0 for x in met]), below, taken)
 
 
-def _missing_files(files: ModelFiles) -> None:
-    """Buckets that no word or context fell into have empty arrays."""
-    for b in range(files.buckets):
-        for name in ("word", "kinds", "uses", "pair", "times", "context", "whole", "met1", "met2", "met3"):
-            if not os.path.exists(f"{files.local()}/{name}-{b}"):
-                files.write(f"{name}-{b}", np.zeros(0))
-
-
 def score(documents: DataFrame, model: KneserNey, text_col: str = "text") -> DataFrame:
     """All rows and columns of documents with the struct _lm: n_tokens, n_known, base_score and score, both log10.
 
     base_score is the add-one unigram model's. Null texts count as empty: one
     token, the end. Equal texts score alike; an empty table gives no rows.
     """
-    _missing_files(model.files)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")
@@ -291,14 +289,18 @@ def score_texts(m: KneserNey, texts: list[str]) -> pd.DataFrame:
     order = np.lexsort((pair, home))
     pair, home = pair[order], home[order]
     found = np.zeros(len(pair), np.int64)
-    cut = np.searchsorted(home, np.arange(m.files.buckets + 1))
-    for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+    for b, i, j in _runs(home):
         have = m.files.read(f"pair-{b}", "<u8")
-        if j > i and len(have):
+        if len(have):
             place = np.searchsorted(have, pair[i:j])
             place[place == len(have)] = 0
             known = np.flatnonzero(have[place] == pair[i:j])
-            found[order[i:j][known]] = m.files.read(f"times-{b}", "<u4")[place[known]]
+            times = m.files.read(f"times-{b}", "<u4")[place[known]].astype(np.int64)
+            if (times >= m.many).any():
+                many = m.files.read(f"many-{b}", "<i8").reshape(-1, 2)
+                large = np.flatnonzero(times >= m.many)
+                times[large] = many[np.searchsorted(many[:, 0], place[known][large]), 1]
+            found[order[i:j][known]] = times
     own_share = np.where(found > 0, found - _discount(np.maximum(found, 1), m.pair_discounts), 0) / np.maximum(whole[head], 1)
     probability = own_share + rest[head] * share[at]
     first = np.cumsum(own) - own

@@ -292,7 +292,7 @@ def near_duplicate_classes(documents: DataFrame, similarity: float = SIMILARITY,
     nodes = signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = nodes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     heads = nodes.groupBy("class").agg(F.min("least").alias("class_id"))
-    nodes = nodes.join(heads, "class").select("node", "class_id", "copies")
+    nodes = materialize(nodes.join(heads, "class").select("node", "class_id", "copies"), "nodes")
     return signed.join(nodes, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 

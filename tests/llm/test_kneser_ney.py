@@ -70,6 +70,16 @@ def test_against_brute_force(spark):
         assert got[i].score == pytest.approx(score(text), rel=1e-4)
 
 
+def test_large_counts_are_kept(spark, monkeypatch):
+    """Counts too large for their array, here those from 3 on, stand beside it."""
+    monkeypatch.setattr(kneser_ney, "MANY", 3)
+    train = ["the cat sat on the mat the cat"] * 9 + ["x " * 50, "a cat"]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in train], "text string"), bucket_words=5)
+    score = brute(train)[0]
+    for text, got in zip([*train, "the cat"], kneser_ney.score_texts(model, [*train, "the cat"])["score"]):
+        assert got == pytest.approx(score(text), rel=1e-4)
+
+
 def test_probabilities_add_up(spark):
     train = ["a b c a b", "b c c a", "a a b"]
     model = kneser_ney.train(spark.createDataFrame([(t,) for t in train], "text string"))
