@@ -176,8 +176,8 @@ def learn_languages(documents: DataFrame, learn: Column, text_col: str = "text",
     return fit_in_task(sample.select("text", "lang"), lambda rows: LanguageModel.fit(rows["text"].to_pylist(), rows["lang"].to_pylist()))
 
 
-def identify_language(documents: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """All rows and columns of documents with the struct _language: lang_pred, score (0 to 1) and ambiguous.
+def identify_language(documents: DataFrame, model: LanguageModel | None, text_col: str = "text", into: str = "_language") -> DataFrame:
+    """All rows and columns of documents with the struct ``into``, in place of a column of that name: lang_pred, score (0 to 1) and ambiguous.
 
     Texts that are null or without a letter are ``und`` with score 0 and
     ambiguous, as are all without a model. Whole texts count; equal texts get
@@ -192,4 +192,4 @@ def identify_language(documents: DataFrame, model: LanguageModel | None, text_co
         return shared.value.predict(text.fillna("").tolist())
 
     # Taken as not deterministic, so that a filter on the result doesn't compute it twice.
-    return documents.withColumn("_language", predict.asNondeterministic()(text_col))
+    return documents.withColumn(into, predict.asNondeterministic()(text_col))

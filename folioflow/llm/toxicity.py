@@ -47,6 +47,8 @@ PHRASE = 3
 THRESHOLD = 0.7
 #: Rounds of choosing toxic texts' sentences after the first, which takes them all.
 ROUNDS = 3
+#: Different sentences that a phrase's strongest word has to be in for the phrase to teach.
+WITNESSES = 5
 
 
 @dataclass(frozen=True)
@@ -367,14 +369,26 @@ def fit_toxicity(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS,
         top = top[top >= 0]
         # Toxic texts without a phrase above those of nearly all clean texts may bear a wrong label: they teach little.
         usual = np.quantile(value[top[~of_toxic[top]]], 0.95)
-        told = phrases_of(np.flatnonzero(of_toxic & (value > usual)))
+        above = np.flatnonzero(of_toxic & (value > usual))
         doubtful = phrases_of(top[of_toxic[top] & (value[top] <= usual)])
         hard = top[~of_toxic[top]]
         clean = phrases_of(hard[np.argsort(-value[hard], kind="stable")])
-        strongest = dict(zip(parts := sorted({w for p in told for w in p}), model.word_weights(parts)))
-        heads = Counter()
-        for p, n in told.items():
-            heads[max(p, key=strongest.__getitem__)] += n
+        # A word that one sentence and its copies bear proves nothing: the strongest words count by different sentences.
+        strongest = dict(zip(parts := sorted({w for p in phrases_of(above) for w in p}), model.word_weights(parts)))
+        seen_in: dict[str, set[bytes]] = {}
+        witness = []
+        for i in above.tolist():
+            if p := sample.phrase(last[i] - size[i] + 1, last[i] + 1):
+                head = max(p, key=strongest.__getitem__)
+                seen_in.setdefault(head, set()).add(sample.index[sample.begin[i] : sample.end[i]].tobytes())
+                witness.append((p, head))
+        told, heads = Counter(), Counter()
+        for p, head in witness:
+            if len(seen_in[head]) >= WITNESSES:
+                told[p] += 1
+                heads[head] += 1
+            else:
+                doubtful[p] += 1
         clear = set(w for p in clean for w in p)
         common = [w for w, _ in sorted(heads.items(), key=lambda x: (-x[1], x[0])) if w not in clear][: learning.misspelt]
         varied = sorted({v for w in common for v in misspelt(w, rng, learning.spellings)} - set(sample.words))
@@ -432,8 +446,8 @@ def learn_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, id_co
     return fit_in_task(sample, fit)
 
 
-def score_toxicity(documents: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
-    """All rows and columns of documents with the double _toxicity, from 0 to 1.
+def score_toxicity(documents: DataFrame, model: ToxicityModel | None, text_col: str = "text", into: str = "_toxicity") -> DataFrame:
+    """All rows and columns of documents with the double ``into``, from 0 to 1, in place of a column of that name.
 
     Whole texts count. A null or empty text scores as one without any toxic
     word; without a model all texts score 0; equal texts score alike; an empty
@@ -446,4 +460,4 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel | None, text_col:
         return pd.Series(shared.value.scores(text.fillna("").tolist()) if shared.value else np.zeros(len(text)))
 
     # Taken as not deterministic, so that a filter on the score doesn't compute it twice.
-    return documents.withColumn("_toxicity", score.asNondeterministic()(text_col))
+    return documents.withColumn(into, score.asNondeterministic()(text_col))

@@ -49,6 +49,59 @@ def test_language_odd_inputs(spark):
     assert language.learn_languages(df.withColumn("lang", F.lit(None).cast("string")), F.lit(True)) is None
 
 
+def test_language_equals_a_plain_version():
+    """Counts, weights and loss-weighted decoding by loops over n-grams."""
+    texts = ["the cat and the dog", "a dog of the house", "der hund und die katze", "die maus der katze", "le chat et le chien", "la souris du chat", "el gato y el perro"]
+    langs = ["en", "en", "de", "de", "fr", "fr", "es"]
+    model = language.LanguageModel.fit(texts, langs)
+    mask = (1 << 64) - 1
+
+    def grams(text):
+        for word in text.split():
+            w = f" {language.fold(word)} "
+            for n in range(1, language.LONGEST + 1):
+                for i in range(len(w) - n + 1 if w.strip() else 0):
+                    if n > 1 or w[i] != " ":
+                        value = 0
+                        for c in w[i : i + n]:
+                            value = (value * 0x100000001B3 + ord(c) + 1) & mask
+                        yield (value * (0x9E3779B97F4A7C15 + 2 * n) & mask) >> 46
+
+    names = sorted(set(langs))
+    counts = {k: {} for k in names}
+    for text, lang in zip(texts, langs):
+        for g in grams(text):
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    rate = lambda lang, g: (counts[lang].get(g, 0) + 0.05) / (sum(counts[lang].values()) + 0.05 * language.BUCKETS)
+    code = language.codewords(len(names))
+
+    def margins(text):
+        got = list(grams(text))
+        out = []
+        for b in range(code.shape[1]):
+            side = lambda s: np.mean([[rate(k, g) for k, c in zip(names, code[:, b]) if c == s] for g in got], axis=1)
+            out.append(np.mean(np.log(side(1)) - np.log(side(-1))))
+        return np.array(out)
+
+    learned = np.array([margins(t) for t in texts])
+    signed = learned * code[[names.index(k) for k in langs]]
+    scale = 4 / np.median(np.abs(learned), axis=0)
+    good = np.maximum((signed > 0).mean(axis=0) - 0.5, 0.05)
+    asked = ["the house", "die hund", "chien du chat", "perro gato", "xyz qq", "The Katze chat"]
+    got = model.predict(asked)
+    for text, name, score in zip(asked, got.lang_pred, got.score):
+        distance = (np.log1p(np.exp(-margins(text) * scale * code)) * good / good.mean()).sum(axis=1)
+        share = np.exp(-(distance - distance.min()))
+        assert name == names[int(distance.argmin())] and abs(score - (share / share.sum()).max()) < 1e-3
+
+
+def test_languages_learned_are_bounded_and_the_same(spark):
+    rows = [(f"word{i} text{i % 7}", f"l{i % 4}") for i in range(400)] + [("same", "l0")] * 50
+    frames = [spark.createDataFrame(r, "text string, lang string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 5))]
+    a, b = (language.learn_languages(f, F.lit(True), per_language=30, most=80) for f in frames)
+    assert a.names == b.names == ["l0", "l1", "l2", "l3"] and np.allclose(a.weights, b.weights)
+
+
 @pytest.fixture(scope="module")
 def toxic_model(spark, documents):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").toPandas()
@@ -143,7 +196,7 @@ def plain_margin(model, text):
 
 def test_margins_equal_the_kernel_machine():
     clean = [f"the {a} and {b} of. this is {b} only" for a in ("tree", "house", "river", "stone") for b in ("green", "tall", "quiet")]
-    bad = [f"the {a} is a {b}. of it" for a in ("tree", "house", "river") for b in ("grubbel", "waste of space", "snarfo")]
+    bad = [f"the {a} is a {b}. of it" for a in ("tree", "house", "river", "stone", "garden", "window") for b in ("grubbel", "waste of space", "snarfo")]
     model = toxicity.fit_toxicity(clean + bad, [0] * len(clean) + [1] * len(bad), landmarks=24)
     texts = clean[:3] + bad[:4] + ["", "a", "gr ub bel", "s n a r f o!", "no. it is waste. of space", "grubbbel"]
     assert np.allclose(model.text_margins(texts), [plain_margin(model, t) for t in texts], atol=1e-4)
@@ -161,13 +214,17 @@ def test_squared_hinge_is_at_its_minimum():
 
 
 def test_toxicity_learning_is_the_same_whatever_the_order(spark):
-    rows = [(i, f"the {w} of it", "x") for i, w in enumerate(["tree", "house", "grubbel", "river", "grubbel", "stone"] * 3)]
+    rows = [(i, f"the {w} of it{i}", "x") for i, w in enumerate(["tree", "house", "grubbel", "grubbel", "grubbel", "stone"] * 3)]
     rows += rows[:4] + [(2, "zzz grubbel", "y"), (None, "grubbel", None), (77, None, None)]
     labels = spark.createDataFrame([(i, int(w[1].find("grubbel") >= 0)) for i, w in enumerate(rows[:18])] + [(3, None), (None, 1), (77, 1), (4, 0)], "doc_id long, toxic int")
     tables = [spark.createDataFrame(r, "doc_id long, text string, toxic string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 3))]
     a, b = (toxicity.learn_toxicity(t, labels, F.lit(True)) for t in tables)
     assert np.array_equal(a.table, b.table) and a.shift == b.shift
     assert [r._toxicity >= 0.7 for r in toxicity.score_toxicity(tables[0].where("doc_id = 2 or doc_id = 0").orderBy("doc_id"), a).collect()] == [False, False, True, True, True]
+    # A word of one sentence and its copies is no insult.
+    copies = [("the tree is green" if i % 2 else "such a grubbel", i % 2 == 0) for i in range(40)]
+    one = toxicity.fit_toxicity([t for t, _ in copies], [int(b) for _, b in copies], rounds=1)
+    assert one is None or one.scores(["the house is tall"])[0] < 0.7
     assert toxicity.learn_toxicity(tables[0], labels.where("false"), F.lit(True)) is None
 
 
