@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import materialize
+from folioflow.llm.common import free_name, materialize
 from folioflow.llm.language import UNKNOWN, identify_language, learn_languages
 from folioflow.llm.mixing import mixed_documents
 from folioflow.llm.neardup import one_of_each
@@ -22,14 +22,16 @@ from folioflow.llm.toxicity import THRESHOLD, learn_toxicity, score_toxicity
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without a letter, and so in none, go. lang becomes the predicted language."""
-    found = identify_language(docs, learn_languages(docs, F.lit(True)))
-    return found.where(F.col("_language.lang_pred") != UNKNOWN).withColumn("lang", F.col("_language.lang_pred")).select(*docs.columns)
+    found = free_name(docs, "found")
+    rows = identify_language(docs, learn_languages(docs, F.lit(True)), into=found)
+    return rows.where(F.col(found)["lang_pred"] != UNKNOWN).withColumn("lang", F.col(found)["lang_pred"]).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
     model = learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return score_toxicity(docs, model).where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "score")
+    return score_toxicity(docs, model, into=score).where(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
