@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+
+import pytest
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
@@ -371,3 +373,77 @@ def test_exports(spark, tmp_path):
     got = {r.k: (r.content and bytes(r.content), r.error and r.error.split(":")[0]) for r in export.run_steps(files).collect()}
     assert got == {1: (text.encode(), None), 2: (None, "BadZipFile"), 3: (None, None), 4: (None, "KeyError"), 5: (b"z", None)}
     assert export.markdown_title("x\n\n## B\n\n# A\n") == "A" and export.markdown_title("## B") == "B" and export.markdown_title("") == "Documento"
+
+
+def test_service_client():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from folioflow.sources import service
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, code, data):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(data if isinstance(data, bytes) else json.dumps(data).encode())
+
+        def do_GET(self):
+            self.answer(200, {"models": [{"name": "m:7b", "size_vram": 5}, {}]})
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(body)
+            self.answer(*{"m:7b": (200, {"response": "olá"}), "no": (404, {}), "bad": (500, {}), "odd": (200, b"<html>")}[body["model"]])
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = lambda m: service.HttpGenerator(f"127.0.0.1:{server.server_port}", m, 5.0, {"num_ctx": 4096})
+    assert client("m:7b").generate("p", "s", 0.4) == "olá"
+    assert seen == [{"model": "m:7b", "prompt": "p", "stream": False, "options": {"temperature": 0.4, "num_ctx": 4096}, "system": "s"}]
+    for model, error in (("no", service.ModelMissing), ("bad", service.ServiceError), ("odd", service.ServiceError)):
+        with pytest.raises(error):
+            client(model).generate("p", "", 0.2)
+    assert client("m:x").preflight() == (True, "") and client("").preflight()[0]
+    assert client("n").preflight() == (False, service.NO_MODEL.format(model="n")) and client("m").on_gpu() is True
+    translated = R.Translator(client("m:7b"), G.Glossary()).chunk("hello", "pending")
+    assert translated[:3] == ("olá", "translated", None)
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(service.ServiceUnavailable):
+        client("m:7b").generate("p", "s", 0.2)
+    assert client("m:7b").preflight() == (False, service.DOWN) and client("m").on_gpu() is None
+
+
+def test_jobs_are_watched_and_cancelled(spark):
+    import threading
+    import time
+
+    from folioflow.operators import progress
+
+    assert progress.run_in_group(spark, "quick", lambda: spark.range(10).count()) == 10
+    ended = []
+
+    def slow():
+        try:
+            progress.run_in_group(spark, "slow", lambda: spark.range(0, 4, 1, 4).foreach(lambda _: time.sleep(60)))
+        except Exception as e:
+            ended.append(e)
+
+    from pyspark import InheritableThread
+
+    thread = InheritableThread(target=slow)
+    thread.start()
+    for _ in range(200):
+        if progress.group_progress(spark, "slow")[1]:
+            break
+        time.sleep(0.1)
+    assert progress.group_progress(spark, "slow")[1] > 0
+    progress.cancel_group(spark, "slow")
+    thread.join(40)
+    assert not thread.is_alive() and ended
