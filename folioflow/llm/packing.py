@@ -17,21 +17,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_cache
+from .common import materialize, text_buffer, worker_cache
 
 #: Words whose ids one Python worker keeps; beyond it the kept words are dropped and gathered anew.
 CACHE_WORDS = 400_000
 
-_BLANK = str.maketrans("\t\n\r", "   ")
+#: Bytes of text split at once; the work takes some 20 times as much memory.
+SPLIT_BYTES = 4 << 20
+
+_BLANK = bytes.maketrans(b"\t\n\r", b"   ")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordIds(dict):
-    """Ids (little-endian uint32 bytes) of blank-delimited chunks, each tokenised once.
+    """Ids (little-endian uint32 bytes) of blank-delimited chunks, by lower-cased word where a chunk is a word and signs.
 
     The tokenizer never merges over white space, so a text's ids are those of
     its chunks in order. Chunks of Latin letters followed by ASCII signs
@@ -47,26 +51,84 @@ class WordIds(dict):
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.signs: dict[str, bytes] = {}
         self.plain = '"end_of_word_suffix":"</w>"' in self.tokenizer.to_str() and '"Lowercase"' in self.tokenizer.to_str()
 
     def __missing__(self, chunk: str) -> bytes:
+        m = _PLAIN.fullmatch(chunk) if self.plain and chunk else None
+        if m is None:
+            return self.keep(chunk, self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else [])
+        word, signs = m[1].lower(), m[2]
+        ids = self.get(word)
+        if ids is None:
+            ids = self.keep(word, [x.id for x in self.model.tokenize(self.spell(word))])
+        return ids + self.sign_ids(signs) if signs else ids
+
+    def keep(self, chunk: str, ids: list[int]) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        m = _PLAIN.fullmatch(chunk) if self.plain and chunk else None
-        if m:
-            ids = [x.id for x in self.model.tokenize(self.spell(m[1].lower()))]
-            if m[2]:
-                ids += [x.id for x in self.model.tokenize(m[2])]
-        else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else []
         self[chunk] = out = array("I", ids).tobytes()
         return out
 
+    def sign_ids(self, signs: str) -> bytes:
+        if signs not in self.signs:
+            if len(self.signs) >= CACHE_WORDS:
+                self.signs.clear()
+            self.signs[signs] = array("I", [x.id for x in self.model.tokenize(signs)]).tobytes()
+        return self.signs[signs]
+
     def spell(self, word: str) -> str:
         return word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.translate(_BLANK).split(" ") if len(text) < 1 << 22 else re.split("[ \t\n\r]", text)))
+        return self.encode_column(pa.array([text], pa.string()))[0].tobytes()
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all texts, one after another, and the n + 1 places where texts begin and end.
+
+        Texts are split in spans of bounded bytes that end at white space or a
+        text's end; a span's distinct chunks are looked up once.
+        """
+        data, offsets = text_buffer(column)
+        bounds, counts, found = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
+        at = before = 0
+        while at < len(data):
+            end = _span_end(data, offsets, at)
+            inside = np.unique(offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, end)])
+            own = np.r_[at, inside, end]
+            texts = pa.LargeStringArray.from_buffers(len(own) - 1, pa.py_buffer(own - at), pa.py_buffer(_blanked(data[at:end])))
+            lists = pc.split_pattern(texts, " ")
+            chunks = lists.flatten().dictionary_encode()
+            ids = [self[chunk] for chunk in chunks.dictionary.to_pylist()]
+            each = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            code = chunks.indices.to_numpy()
+            n = each[code]
+            total = np.r_[0, np.cumsum(n)]
+            place = np.repeat((np.cumsum(each) - each)[code] - total[:-1], n) + np.arange(total[-1])
+            found.append(np.frombuffer(b"".join(ids), "<u4")[place])
+            bounds.append(own[1:])
+            counts.append(before + total[np.cumsum(lists.value_lengths().to_numpy())])
+            before += int(total[-1])
+            at = end
+        return np.concatenate(found), np.concatenate(counts)[np.searchsorted(np.concatenate(bounds), offsets)]
+
+
+def _span_end(data: np.ndarray, offsets: np.ndarray, at: int) -> int:
+    """The last place within SPLIT_BYTES where a text ends or a chunk begins, or the first one beyond."""
+    end = at + SPLIT_BYTES
+    if end >= len(data):
+        return len(data)
+    last = max(int(offsets[np.searchsorted(offsets, end, "right") - 1]), at + 1 + _blanked(data[at:end]).rfind(b" "))
+    while last <= at:
+        stop = int(offsets[np.searchsorted(offsets, end, "right")])
+        first = _blanked(data[end : min(end + SPLIT_BYTES, stop)]).find(b" ")
+        last = end + first + 1 if first >= 0 else stop if stop <= end + SPLIT_BYTES else at
+        end += SPLIT_BYTES
+    return last
+
+
+def _blanked(data: np.ndarray) -> bytes:
+    return data.tobytes().translate(_BLANK)
 
 
 def plan_bins(histogram: dict[int, int], max_len: int) -> tuple[pd.DataFrame, int]:
@@ -132,24 +194,32 @@ def tokenize_pieces(documents: DataFrame, tokenizer_path: str, max_len: int = 20
     ``nth`` counts the pieces of one length within one task (``part``), so write the result before use.
     """
     schema = f"doc_id {documents.schema[id_col].dataType.simpleString()}, piece int, start long, length int, ids_crc32 long, part int, nth long" + ", ids array<int>" * keep_ids
-    end = array("I", [end_id]).tobytes()
-    step = 4 * max_len
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part = worker_cache(tokenizer_path, lambda: WordIds(tokenizer_path)), TaskContext.get().partitionId()
-        seen = [0] * (max_len + 1)
+        words, part = worker_cache(tokenizer_path, lambda: WordIds(tokenizer_path)), TaskContext.get().partitionId()
+        seen = np.zeros(max_len + 1, np.int64)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7 + keep_ids)]
-            for i, text in enumerate(batch.column(1)):
-                got = ids.encode(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(got), step)):
-                    own = got[at : at + step]
-                    length = len(own) // 4
-                    for column, value in zip(out, (i, piece, at // 4, length, zlib.crc32(own), part, seen[length], *([np.frombuffer(own, "<i4")] * keep_ids))):
-                        column.append(value)
-                    seen[length] += 1
-            types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, t) for x, t in zip(out[1:], types))], names=[x.split()[0] for x in schema.split(", ")])
+            ids, ends = words.encode_column(batch.column(1))
+            ids = np.insert(ids, ends[1:], end_id).astype("<u4")
+            sizes = np.diff(ends) + 1
+            pieces = -(-sizes // max_len)
+            doc = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            length = np.minimum(sizes[doc] - piece * max_len, max_len)
+            bound = np.r_[0, np.cumsum(length)]
+            view = memoryview(ids)
+            crc = [zlib.crc32(view[a:b]) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
+            # The rank among pieces of the length, in order of arrival.
+            order = np.argsort(length, kind="stable")
+            many = np.bincount(length, minlength=max_len + 1)
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(order)) - np.repeat(np.cumsum(many) - many, many)
+            nth += seen[length]
+            seen += many
+            columns = [pa.array(piece, pa.int32()), pa.array(piece * max_len), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth)]
+            if keep_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(ids.view("<i4"))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *columns], names=[x.split()[0] for x in schema.split(", ")])
 
     return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

@@ -2,14 +2,17 @@
 
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from folioflow.llm import packing
 from folioflow.llm.packing import WordIds, best_two_fit_pack, plan_bins
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +24,11 @@ def tokenizer():
     return Tokenizer.from_file(PATH)
 
 
+@cache
+def models():
+    return WordIds(PATH), Tokenizer.from_file(PATH)
+
+
 def test_word_ids_equal_the_tokenizer(tokenizer):
     ids = WordIds(PATH)
     for text in TEXTS:
@@ -30,10 +38,23 @@ def test_word_ids_equal_the_tokenizer(tokenizer):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
-    ids, whole = WordIds(PATH), Tokenizer.from_file(PATH)
+    ids, whole = models()
     assert np.frombuffer(ids.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB é.-\n日", max_size=40)), max_size=6), st.integers(1, 12))
+def test_any_column_in_spans_of_any_size(texts, span):
+    ids, whole = models()
+    usual, packing.SPLIT_BYTES = packing.SPLIT_BYTES, span
+    try:
+        got, ends = ids.encode_column(pa.array(texts, pa.string()))
+    finally:
+        packing.SPLIT_BYTES = usual
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got.tolist() == sum(want, []) and np.diff(ends).tolist() == list(map(len, want))
+
+
 def check_bins(rows, max_len):
     bins = defaultdict(list)
     for r in rows:
