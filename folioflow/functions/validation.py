@@ -26,6 +26,11 @@ def _list(items: Column) -> Column:
     return F.concat(F.lit("['"), F.array_join(items, "', '"), F.lit("']"))
 
 
+def _two_places(number: Column) -> Column:
+    """A number with two decimals: its exact binary value is rounded, ties to the even digit, as C and Python do; format_string rounds the shortest decimal form half up."""
+    return F.call_function("format_number", number, F.lit("0.00"))
+
+
 def _brackets(items: Column) -> Column:
     return F.when(F.size(items) == 0, F.lit("[]")).otherwise(_list(items))
 
@@ -67,9 +72,10 @@ def validate(response: Column, original: Column, placeholders: Column | None = N
     items = _counted("itens de lista", _count(original, P.LIST_ITEM), _count(text, P.LIST_ITEM), extra)
     long_, own = F.length(strip(original)), F.length(text)
     ratio = own / long_
+    shown = _two_places(ratio)
     size = F.when(
         long_ >= 30,
-        F.when(ratio < least, F.format_string(f"Tamanho muito curto: razão %.2f < mínimo {least}", ratio)).when(ratio > most, F.format_string(f"Tamanho muito longo: razão %.2f > máximo {most}", ratio)),
+        F.when(ratio < least, F.format_string(f"Tamanho muito curto: razão %s < mínimo {least}", shown)).when(ratio > most, F.format_string(f"Tamanho muito longo: razão %s > máximo {most}", shown)),
     ).otherwise(F.when(own > long_ * 4 + 25, F.format_string("Tamanho excedeu limite para texto curto: %d caracteres", own)))
     reasons = F.when(text == "", F.array(F.lit("A resposta do modelo veio vazia."))).otherwise(F.array_compact(F.array(chat, lost, headings, items, size)))
     return F.struct((F.size(reasons) == 0).alias("is_valid"), reasons.alias("reasons"))

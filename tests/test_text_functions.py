@@ -123,6 +123,15 @@ def test_validation(spark):
     assert kept.select(V.validate(F.col("r"), F.lit("a b c"), F.col("f"))["reasons"]).first()[0] == ["Divergência de placeholders: esperado ['__PH_0__', '__PH_1__'], ausente(s): ['__PH_1__']"]
 
 
+def test_ratios_are_rounded_by_their_binary_value(spark):
+    # Ties of the decimal form: exact in binary (x.125, x.375, x.625), just below the tie, just above it.
+    lengths = [(5, 40), (15, 40), (260, 32), (340, 32), (1625, 40), (517, 200), (535, 200), (503, 200), (1, 200), (40000, 32)]
+    df = spark.createDataFrame([(i, "x" * m, "y" * n) for i, (m, n) in enumerate(lengths)], "i int, r string, o string")
+    rows = df.orderBy("i").select(V.validate(F.col("r"), F.col("o"))["reasons"].alias("v")).collect()
+    want = [f"Tamanho muito curto: razão {m / n:.2f} < mínimo 0.4" if m < n else f"Tamanho muito longo: razão {m / n:.2f} > máximo 2.5" for m, n in lengths]
+    assert [row.v for row in rows] == [[w] for w in want]
+
+
 def test_demote_headings():
     original = "# A\n\ntext\n\n## B\n\nmore"
     assert V.demote_headings("# A\n\n### New\n\ntext\n\n## B\n\nmore", original) == "# A\n\nNew\n\ntext\n\n## B\n\nmore"
